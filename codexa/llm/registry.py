@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from codexa.llm import near_dedup
+from codexa.llm import near_dedup, quality_lm
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
+    "op9_quality_classifier": quality_lm.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
