@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from codexa.llm import near_dedup, quality_lm
+from codexa.llm import decontaminate, line_dedup, near_dedup, quality_lm
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
+    "op2_benchmark_decontamination": decontaminate.query,
+    "op6_line_dedup": line_dedup.query,
     "op9_quality_classifier": quality_lm.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
+}
