@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from codexa.llm import decontaminate, line_dedup, near_dedup, quality_lm
+from codexa.llm import decontaminate, line_dedup, near_dedup, packing, quality_lm, token_prefix, url_lists
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
     "op2_benchmark_decontamination": decontaminate.query,
+    "op3_url_filters": url_lists.query,
     "op6_line_dedup": line_dedup.query,
+    "op8_best_fit_packing": packing.query,
     "op9_quality_classifier": quality_lm.query,
+    "op10_token_counts": token_prefix.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": url_lists.SQL,
     "op6_line_dedup": line_dedup.SQL,
 }

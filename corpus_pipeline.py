@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codexa.llm import near_dedup
+from codexa.llm import decontaminate, line_dedup, near_dedup, packing, quality_lm
 from codexa.llm._base import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney classifier rejects go."""
+    return quality_lm.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat another go, and documents of which nothing is left."""
+    return line_dedup.without_repeats(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return near_dedup.deduplicate(docs)
 
 
-STAGES = [("minhash_near_dedup", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document lies in the packed sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", repeated_lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", sequences),
+]
 
 #: No SQL expresses hashing signatures, randomised factorisation or sequential packing.
 ORACLE_SQL = None
