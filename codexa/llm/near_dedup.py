@@ -88,7 +88,7 @@ class _Sets:
 
 
 def _merge(matches: int):
-    """Postings (token, rep, 16-bit signature) sorted by token -> pairs that agree in `matches` values or more; enough of them to connect all that do."""
+    """Postings (token, class, 16-bit signature) sorted by token -> pairs that agree in `matches` values or more; enough of them to connect all that do."""
 
     def one(ids: np.ndarray, sigs: np.ndarray, sets: _Sets, out: list) -> None:
         groups: dict[int, list[int]] = {}
@@ -139,11 +139,11 @@ def _merge(matches: int):
 
 def _pairs(out: list) -> pa.RecordBatch:
     a = np.array(out, np.int64).reshape(-1, 3)
-    return pa.record_batch([pa.array(np.minimum(a[:, 0], a[:, 1])), pa.array(np.maximum(a[:, 0], a[:, 1])), pa.array(a[:, 2].astype(np.int32))], names=["doc_a", "doc_b", "agree"])
+    return pa.record_batch([pa.array(np.minimum(a[:, 0], a[:, 1])), pa.array(np.maximum(a[:, 0], a[:, 1])), pa.array(a[:, 2].astype(np.int32))], names=["class_a", "class_b", "agree"])
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (share, token) lists -> the signature as 16-bit values by coordinate; a value no other class holds gets a mark from the class's own number."""
+    """Sorted tokens -> the signature as 16-bit values by coordinate; a value no other class holds gets a mark from the class's own number."""
     for batch in batches:
         reps, lists = batch.column(0).to_numpy(), batch.column(1)
         flat, at = lists.flatten().to_numpy().view(U), lists.offsets.to_numpy()
@@ -153,7 +153,7 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             full = (mix(reps.astype(U)[:, None] * U(width) + np.arange(width, dtype=U)) >> U(40)).astype(np.uint16)
         full[row, (flat & U(63)).astype(np.int64)] = (flat >> U(20)).astype(np.uint16)
-        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in full], pa.binary()), batch.column(2)], names=["rep", "sig", "prefix"])
+        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in full], pa.binary()), batch.column(2)], names=["same", "sig", "prefix"])
 
 
 def signed(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
@@ -164,26 +164,28 @@ def signed(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     return stored(named.mapInArrow(_sign(coordinates), "doc_id long, same long, tokens array<long>"), "signed")
 
 
-def near_pairs(signed_docs: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(doc_a, doc_b, agree) of classes' least documents that agree in `matches` coordinates or more; the pairs connect every two classes that do so, each pair compared and above the threshold itself."""
-    reps = signed_docs.groupBy("same").agg(F.min_by("tokens", "doc_id").alias("tokens"), F.min("doc_id").alias("rep"))
-    posted = reps.select("rep", F.explode("tokens").alias("token"))
-    shared = posted.withColumn("share", F.count("*").over(Window.partitionBy("token"))).where("share > 1")
-    lists = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("share", "token"))).alias("s")).where(F.size("s") >= matches)
-    cut = lists.select("rep", F.col("s.token").alias("tokens"), (F.size("s") - matches + 1).alias("prefix"))
-    slim = cut.select("rep", "tokens", F.expr("slice(tokens, 1, prefix)").alias("prefix")).mapInArrow(_narrow, "rep long, sig binary, prefix array<long>")
-    postings = slim.select(F.explode("prefix").alias("token"), "rep", "sig")
-    found = postings.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_merge(matches), "doc_a long, doc_b long, agree int")
-    return found.groupBy("doc_a", "doc_b").agg(F.max("agree").alias("agree"))
+def near_classes(signed_docs: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """(class_a, class_b, agree) of the classes that agree in `matches` coordinates or more; the pairs connect every two classes that do so, each pair compared and above the threshold itself."""
+    posted = signed_docs.select("same", F.explode("tokens").alias("token"))
+    w = Window.partitionBy("token")
+    # a value is shared if two classes hold it; the number of its postings only orders the prefix, so copies need not be taken out first
+    shared = posted.withColumns({"n": F.count("*").over(w), "lo": F.min("same").over(w), "hi": F.max("same").over(w)}).where("lo <> hi")
+    # the order (the number's magnitude) takes the value's top six bits, so that a posting is two longs
+    ranked = shared.select("same", F.expr("(cast(floor(log2(n)) as bigint) << 58) | (shiftrightunsigned(token, 12) << 6) | (token & 63)").alias("token"))
+    lists = ranked.repartition("same").groupBy("same").agg(F.sort_array(F.collect_set("token")).alias("tokens")).where(F.size("tokens") >= matches)
+    slim = lists.select("same", "tokens", F.expr(f"slice(tokens, 1, size(tokens) - {matches - 1})").alias("prefix")).mapInArrow(_narrow, "same long, sig binary, prefix array<long>")
+    postings = slim.select(F.explode("prefix").alias("token"), "same", "sig")
+    found = postings.repartition("token").sortWithinPartitions("token", "same").mapInArrow(_merge(matches), "class_a long, class_b long, agree int")
+    return found.groupBy("class_a", "class_b").agg(F.max("agree").alias("agree"))
 
 
 def near_copies(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(doc_id, kept_id) of every document that is a near copy, directly or through others, of one with a lesser doc_id; kept_id is the least of its group."""
     s = signed(docs, coordinates)
-    roots = grouped(near_pairs(s, matches), "doc_a", "doc_b")
-    classes = s.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    kept = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("class"), F.coalesce("root", "rep").alias("kept_id"))
-    return s.select("doc_id", "same").distinct().join(kept, F.col("same") == F.col("class")).where("doc_id <> kept_id").select("doc_id", F.col("kept_id")).groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
+    roots = grouped(near_classes(s, matches), "class_a", "class_b")
+    placed = s.select("doc_id", "same").join(roots, F.col("same") == F.col("node"), "left").select("doc_id", F.coalesce("root", "same").alias("root"))
+    least = placed.groupBy(F.col("root").alias("group")).agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return placed.join(least, F.col("root") == F.col("group")).where("doc_id <> kept_id").groupBy("doc_id").agg(F.min("kept_id").alias("kept_id"))
 
 
 def deduplicate(docs: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
