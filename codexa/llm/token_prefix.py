@@ -12,10 +12,11 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from codexa.llm._base import prepare
@@ -33,8 +34,6 @@ class Counter(dict):
     """Unit -> its steps, one byte a character (None if one doesn't fit); worked out at first use, forgotten when there are too many."""
 
     def __init__(self, vocabulary: str):
-        import tiktoken
-
         with open(vocabulary, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
@@ -42,7 +41,7 @@ class Counter(dict):
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.heads: dict[bytes, tuple[list[bytes], list[int]]] = {}
-        self.pretokens = __import__("regex").compile(PATTERN)
+        self.pretokens = regex.compile(PATTERN)
 
     def follows(self, a: bytes, b: bytes) -> bool:
         """Whether the tokens a and b, put together, encode to themselves."""
@@ -134,7 +133,14 @@ class Counter(dict):
 
 
 _SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-counter = lru_cache(maxsize=2)(Counter)  # kept between a worker's tasks
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter(vocabulary: str) -> Counter:
+    """The vocabulary's counter, kept between a worker's tasks."""
+    if vocabulary not in _COUNTERS:
+        _COUNTERS[vocabulary] = Counter(vocabulary)
+    return _COUNTERS[vocabulary]
 
 
 def counts_of(steps: bytes, wide: bool = False) -> np.ndarray:
