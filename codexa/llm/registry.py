@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codexa.llm import decontaminate, line_dedup, near_dedup, packing, pii, quality_lm, token_prefix, url_lists
+from codexa.llm import decontaminate, langid, line_dedup, near_dedup, packing, pii, quality_lm, token_prefix, url_lists
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
     "op2_benchmark_decontamination": decontaminate.query,
     "op3_url_filters": url_lists.query,
+    "op4_language_id": langid.query,
     "op5_pii": pii.query,
     "op6_line_dedup": line_dedup.query,
     "op8_best_fit_packing": packing.query,
