@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexa.llm import decontaminate, langid, line_dedup, near_dedup, packing, pii, quality_lm, token_prefix, url_lists
+from codexa.llm import audio, decontaminate, langid, line_dedup, near_dedup, packing, pii, quality_lm, token_prefix, url_lists
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_pii": pii.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_media_audio_features": audio.query,
     "op8_best_fit_packing": packing.query,
     "op9_quality_classifier": quality_lm.query,
     "op10_token_counts": token_prefix.query,
