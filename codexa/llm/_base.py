@@ -110,16 +110,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_BYTE = np.arange(256, dtype=U) + U(1)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """ASCII and Latin-1 letters in lower case, in UTF-8."""
-    out = _LOWER[data]
+    out = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
     at = np.flatnonzero(data[:-1] == 0xC3) + 1
     if len(at):
         high = out[at]
@@ -133,20 +129,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not n:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     low = lowered(data)
-    word = _WORD[low]
+    word = (low - np.uint8(97) < 26) | (low - np.uint8(48) < 10) | (low >= 128)
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
     inner = offsets[(offsets > 0) & (offsets < n)]
     first[inner] |= word[inner]
     last[inner - 1] |= word[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end = np.flatnonzero(first), np.flatnonzero(last)
     up, down = powers(n)
     with np.errstate(over="ignore"):
-        total = np.cumsum(_BYTE[low] * up)
-        before = np.where(start > 0, total[start - 1], U(0)) if len(start) else np.zeros(0, U)
-        hashes = mix((total[end - 1] - before) * down[start])
-    return hashes, start, end, np.searchsorted(start, offsets)
+        own = (low.astype(U) + U(1)) * up
+        total = np.cumsum(own)
+        hashes = mix((total[end] - total[start] + own[start]) * down[start])
+    return hashes, start, end + 1, np.searchsorted(start, offsets)
 
 
 def grouped(df: DataFrame, a: str, b: str) -> DataFrame:

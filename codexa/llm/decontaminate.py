@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The corpus is cut into passages of BLOCK words. Their TF-IDF matrix A (terms hashed to TERMS columns) is factorised by a randomised SVD: every task adds up its rows' share of A'A times a random TERMS x RANK matrix, the shares are summed by term in a shuffle, and the small factorisation of the sketch (Nystrom's) gives the right singular vectors and values. A passage's latent vector is its row times those vectors, over the values. Benchmark items are cut into parts of at most PART words, each a query; every window of two adjoining blocks (64 words, a step of 32) is compared with every part by cosine, the bar being half of what a window that holds the part word for word would reach. Candidates are verified on words: the longest common subsequence of the part and the window with half a window around it. A share of SURE of the part's words in order is a leak; a share from LIKELY up is a paraphrase, and a leak if the answer, the part's last quarter, is there too (a share of ANSWER of its words in order) and the words found are not only common ones (they have a share of WEIGHT of the part's inverse document frequencies).
+The corpus is cut into passages of BLOCK words. Their TF-IDF matrix A (terms hashed to TERMS columns) is factorised by a randomised SVD: every task adds up its rows' share of A'A times a random TERMS x RANK matrix, the shares are summed by term in a shuffle, and the small factorisation of the sketch (Nystrom's) gives the right singular vectors and values. A passage's latent vector is its row times those vectors, over the values. Benchmark items are cut into parts of at most PART words, each a query; every window of two adjoining blocks (64 words, a step of 32) is compared with every part by cosine, the bar being half of what a window that holds the part word for word would reach. A candidate of which more distinct words are missing around the window than a paraphrase may lack is dropped by bitmaps. The others are verified on words: the longest common subsequence of the part and the window with half a window around it. A share of SURE of the part's words in order is a leak; a share from LIKELY up is a paraphrase, and a leak if the answer, the part's last quarter, is there too (a share of ANSWER of its words in order) and the words found are not only common ones (they have a share of WEIGHT of the part's inverse document frequencies).
 
 Defined cases. Null or empty text, or text without words: no passage, so never a leak. Null doc_id or item_id, or item without words: ignored. Rows with the same doc_id are one document, items with the same item_id one item: the best match counts. An empty benchmark or corpus gives an empty result. Whole texts are searched, whatever their length.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from codexa.llm._base import U, buffers, fresh, pieces, prepare, stored, words
 
-BLOCK, PART, TERMS, RANK = 32, 64, 1 << 14, 64
+BLOCK, PART, TERMS, RANK, BITS = 32, 64, 1 << 14, 64, 2048
 SURE, LIKELY, ANSWER, WEIGHT, BAR = 0.8, 0.6, 0.5, 0.5, 0.5
 ITEMS_AT_ONCE = 20_000
 
@@ -33,7 +33,7 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
     return h, (h >> U(50)).astype(np.uint16), np.repeat(np.arange(len(first)), size), first, row
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18):
+def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20):
     for batch in batches:
         data, offsets = buffers(batch.column(column))
         for i, j in pieces(offsets, most):
@@ -54,8 +54,37 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.record_batch([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[passages], total[some]]))], names=["term", "n"])
 
 
-def _sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[index], first, axis=0) if len(first) else np.zeros((0, table.shape[1]), table.dtype)
+def _sums(table: np.ndarray, term: np.ndarray, block: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over each block's words, a place in all blocks at a time; the table's last row is 0."""
+    place = np.full((len(first), BLOCK), TERMS, np.int64)
+    place[block, np.arange(len(term)) - first[block]] = term
+    out = np.take(table, place[:, 0], axis=0, mode="clip")
+    for k in range(1, BLOCK):
+        out += np.take(table, place[:, k], axis=0, mode="clip")
+    return out
+
+
+def _spread(total: np.ndarray, term: np.ndarray, block: np.ndarray, y: np.ndarray, often: int = 24) -> None:
+    """Adds to each term's row those of the blocks that its words are in: frequent terms by one product, the others an occurrence at a time."""
+    o = np.argsort(term, kind="stable")
+    t, b = term[o].astype(np.int64), block[o]
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    count = np.diff(np.concatenate([start, [len(t)]]))
+    for k in range(often):
+        own = start[(count > k) & (count <= often)] + k
+        if not len(own):
+            break
+        total[t[own]] += np.take(y, b[own], axis=0, mode="clip")
+    many = np.flatnonzero(count > often)
+    if len(many):
+        which = np.repeat(np.arange(len(many)), count[many])
+        at = np.repeat(start[many] - np.concatenate([[0], np.cumsum(count[many])[:-1]]), count[many]) + np.arange(len(which))
+        times = np.bincount(which * len(y) + b[at], minlength=len(many) * len(y)).astype(np.float32).reshape(len(many), len(y))
+        total[t[start[many]]] += times @ y
+
+
+def _padded(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
 
 
 def _sketch(shared):
@@ -66,12 +95,9 @@ def _sketch(shared):
             _, term, block, first, _ = _cut(data, offsets)
             if not len(first):
                 continue
-            y = _sums(random, term, first)
+            y = _sums(random, term, block, first)
             y /= np.maximum(np.sqrt((y * y).mean(axis=1, keepdims=True)), 1e-9)  # passages of one weight, whatever their length
-            o = np.argsort(term, kind="stable")
-            t = term[o]
-            start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            total[t[start]] += _sums(y, block[o], start)
+            _spread(total, term, block, y)
         total *= idf[:, None]
         some = np.flatnonzero(total.any(axis=1))
         out = total[some].astype(np.float32)
@@ -101,7 +127,7 @@ def latent(texts: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]
     df[term[term >= 0]] = n[term >= 0]
     idf = np.log((1 + passages) / (1 + df)).astype(np.float32)
     random = np.random.default_rng(7).standard_normal((TERMS, rank)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((random * idf[:, None], idf))
+    shared = spark.sparkContext.broadcast((_padded(random * idf[:, None]), idf))
     rows = texts.mapInArrow(_sketch(shared), "term int, row binary").repartition("term").mapInArrow(_added, "term int, row binary").toArrow()  # TERMS rows at most
     y = np.zeros((TERMS, rank))
     y[rows.column(0).to_numpy()] = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(-1, rank)
@@ -131,6 +157,13 @@ def _lcs(part: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~v & full).astype(np.int64)
 
 
+def _bits(h: np.ndarray, block: np.ndarray, blocks: int) -> np.ndarray:
+    """A bitmap of BITS places for the words of each block, as 64-bit words."""
+    held = np.zeros((blocks, BITS), bool)
+    held[block, (h & U(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(held, axis=1).view(U)
+
+
 def parts_of(item: np.ndarray) -> list[np.ndarray]:
     k = -(-len(item) // PART)
     return np.array_split(item, k) if k else []
@@ -140,27 +173,37 @@ def _search(shared):
     """(doc_id, item_id, share, answer, cosine) of the verified matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, parts, idf, items, queries, bars = shared.value
+        table, parts, idf, items, queries, bars, part_bits, lacking = shared.value
         for batch, i, data, offsets in _texts(batches, 1):
-            h, term, _, first, row = _cut(data, offsets)
+            h, term, block, first, row = _cut(data, offsets)
             if not len(first):
                 continue
-            z = _sums(table, term, first)
+            z = _sums(table, term, block, first)
             end = np.concatenate([first[1:], [len(h)]])
             follows = np.concatenate([row[1:] == row[:-1], [False]])
+            before = np.concatenate([[False], follows[:-1]])
             w = z.copy()
             w[follows] += z[1:][follows[:-1]]
             # a row's last block alone is a window only if the row has no other
-            whole = follows | ~np.concatenate([[False], follows[:-1]])
-            w, k = w[whole], np.flatnonzero(whole)
+            k = np.flatnonzero(follows | ~before)
+            w = w[k]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             cosine = w @ queries
             win, part = np.nonzero(cosine >= bars)
             if not len(win):
                 continue
-            lo, hi = first[k], np.where(follows[k], end[np.minimum(k + 1, len(end) - 1)], end[k])
-            row_first, row_last = np.searchsorted(row, row[k]), np.searchsorted(row, row[k], side="right") - 1
-            lo, hi = np.maximum(lo - BLOCK, first[row_first]), np.minimum(hi + BLOCK, end[row_last])
+            # the window, and a block on either side of it where the row has one
+            left = np.where(before[k], k - 1, k)
+            right = np.where(follows[k], k + 1, k)
+            right = np.where(follows[right], right + 1, right)
+            bits = _bits(h, block, len(first))
+            around = bits[left] | bits[k] | bits[np.minimum(k + 1, right)] | bits[right]
+            lacks = np.concatenate([np.bitwise_count(part_bits[part[a : a + 65536]] & ~around[win[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(win), 65536)])
+            ok = lacks <= lacking[part]
+            win, part = win[ok], part[ok]
+            if not len(win):
+                continue
+            lo, hi = first[left], end[right]
             o = np.argsort(part, kind="stable")
             win, part = win[o], part[o]
             bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
@@ -216,7 +259,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, items_at_once
                 q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
                 bars = BAR * np.sqrt(np.array([len(p) for p in parts]) / PART)
                 weights = [idf[(p >> U(50)).astype(np.int64)] for p in parts]
-                shared = spark.sparkContext.broadcast((table, parts, weights, np.array(ids), np.ascontiguousarray(q.T), bars.astype(np.float32)))
+                part_bits = np.concatenate([_bits(p, np.zeros(len(p), np.int64), 1) for p in parts])
+                # what a part of n words may lack: a share LIKELY of them must be there
+                lacking = np.array([len(p) - int(np.ceil(LIKELY * len(p) - 1e-9)) for p in parts])
+                shared = spark.sparkContext.broadcast((_padded(table), parts, weights, np.array(ids), np.ascontiguousarray(q.T), bars.astype(np.float32), part_bits, lacking))
                 lots.append(named.mapInArrow(_search(shared), _FOUND))
         for found in lots:
             out = found if out is None else out.unionAll(found)
