@@ -4,7 +4,691 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codexa.functions import identity as fi
+from codexa.functions import text as ft
+from codexa.operators import library, references, scopes, search, structure, territory, versions
+from codexa.plans import corpus
+from codexa.plans.corpus import DOCS_SQL, NODES_SQL, TERRITORIES_SQL, TURNS_SQL
+from codexa.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def joined(c, by: str = ",") -> F.Column:
+    return F.array_join(c, by)
+
+
+# --- vector search -----------------------------------------------------------------------------
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = corpus.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return list(row["embedding"]) if row else [1.0]
+
+
+_COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+_VECTORS = f"WITH {DOCS_SQL}, v AS (SELECT docs.*, label, {_COSINE} AS score FROM docs JOIN embeddings ON vec_id = doc_id)"
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10)")
+def topk_search(spark, sf_dir):
+    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    return search.topk(v, _first_vector(spark, sf_dir), 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 25)")
+def topk_filtered_label(spark, sf_dir):
+    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    return search.topk(v, _first_vector(spark, sf_dir), 25, F.col("label").isin(1, 2, 3)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(_VECTORS + " SELECT doc_id, name, round(score, 6) AS score, text FROM (SELECT * FROM v WHERE coalesce(user_id, '') = '' AND lang = 'en' ORDER BY score DESC, doc_id LIMIT 10)")
+def topk_text_join(spark, sf_dir):
+    where = search.predicate(lang="en")
+    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), 10, where).select("doc_id", "name", F.round("score", 6).alias("score"), "text")
+
+
+@query(_VECTORS + " SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM v WHERE coalesce(user_id, '') = '' ORDER BY score DESC, doc_id LIMIT 10)")
+def topk_limit_zero_default(spark, sf_dir):
+    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), 0, search.predicate()).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_VECTORS + " SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM v WHERE user_id = 'u0' AND project_id IN ('p0') ORDER BY score DESC, doc_id LIMIT 10)")
+def topk_user_index(spark, sf_dir):
+    where = search.predicate(user_id="u0", project_ids=["p0"], include_shared=False)
+    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), None, where).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def topk_lsh(spark, sf_dir):
+    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    return search.topk_lsh(v, _first_vector(spark, sf_dir)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+# --- predicates --------------------------------------------------------------------------------
+
+
+def _by_name(df: DataFrame) -> DataFrame:
+    return df.groupBy("name").agg(F.count("*").alias("nodes"), F.count_distinct("doc_id").alias("documents"))
+
+
+def _by_name_sql(where: str) -> str:
+    return f"WITH {NODES_SQL} SELECT name, count(*) AS nodes, count(DISTINCT doc_id) AS documents FROM nodes WHERE {where} GROUP BY name"
+
+
+_SHARED = "coalesce(user_id, '') = ''"
+
+
+@query(_by_name_sql(f"name IN ('src1', 'src2', 'src3') AND {_SHARED}"))
+def filter_name_in(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(document_names=["src1", "src2", "src3"])))
+
+
+@query(_by_name_sql(f"list_has_any(tags, ['fr', 'src4']) AND {_SHARED}"))
+def filter_tags_any(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(tags=["fr", "src4"])))
+
+
+@query(_by_name_sql(f"(list_contains(versions, '000041') OR version = '000041') AND {_SHARED}"))
+def filter_version_or(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(version="000041")))
+
+
+@query(_by_name_sql(_SHARED))
+def filter_shared_only(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate()))
+
+
+@query(_by_name_sql("user_id = 'u1' AND project_id IN ('p0', 'p5')"))
+def filter_user_scope(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(user_id="u1", project_ids=["p0", "p5"], include_shared=False)))
+
+
+@query(_by_name_sql(f"lang = 'de' AND (user_id = 'u1' AND project_id IN ('p0') OR {_SHARED})"))
+def filter_combined_scope(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(lang="de", user_id="u1", project_ids=["p0"])))
+
+
+@query(_by_name_sql(f"block = 'amendment' AND type IN ('paragraph', 'clause') AND {_SHARED}"))
+def filter_block_types(spark, sf_dir):
+    return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(block="amendment", types=["paragraph", "clause"])))
+
+
+@query(f"WITH {NODES_SQL} SELECT id, text FROM nodes WHERE id IN ('1:0', '2:1', '7:0', 'none')")
+def point_lookup(spark, sf_dir):
+    return corpus.nodes(spark, sf_dir).where(F.col("id").isin("1:0", "2:1", "7:0", "none")).select("id", "text")
+
+
+@query(f"WITH {DOCS_SQL} SELECT doc_id, version, '/documents/' || name || '/source?version=' || version AS url FROM docs WHERE user_id IS NULL UNION ALL SELECT doc_id, version, '/user-documents/' || name || '/source?user_id=' || user_id || '&project_id=' || project_id || '&version=' || version FROM docs WHERE user_id IS NOT NULL")
+def source_urls(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir)
+    return d.select("doc_id", "version", fi.source_url(F.lit("key"), F.col("name"), F.col("version"), F.col("user_id"), F.col("project_id"), F.lit(None).cast("string")).alias("url"))
+
+
+# --- territories -------------------------------------------------------------------------------
+
+_UP = f"WITH RECURSIVE {TERRITORIES_SQL}, up AS (SELECT territory_id, parent_id AS above, [territory_id] AS path FROM territories UNION ALL SELECT u.territory_id, t.parent_id, list_concat([t.territory_id], u.path) FROM up u JOIN territories t ON t.territory_id = u.above), paths AS (SELECT territory_id, arg_max(path, len(path)) AS path FROM up GROUP BY territory_id)"
+
+
+@query(_UP + " SELECT territory_id, array_to_string(path, '/') AS path FROM paths")
+def territory_paths(spark, sf_dir):
+    return territory.paths(corpus.territories(spark, sf_dir)).select("territory_id", joined("path", "/").alias("path"))
+
+
+@query(_UP + " SELECT territory_id FROM paths WHERE list_contains(path, 1001) AND territory_id <> 1001")
+def territory_descendants(spark, sf_dir):
+    return territory.descendants(territory.closure(territory.paths(corpus.territories(spark, sf_dir))), 1001)
+
+
+@query(f"WITH {NODES_SQL} SELECT territory_id, count(DISTINCT doc_id) AS documents FROM nodes WHERE {_SHARED} AND (list_has_any(territory_path, [1002]) OR territory_id IN (1002, -1)) GROUP BY territory_id")
+def territory_filter(spark, sf_dir):
+    links = territory.closure(territory.paths(corpus.territories(spark, sf_dir)))
+    where = search.predicate(territory_ids=[1002], ancestors=territory.ancestors_of(links, [1002]))
+    return corpus.nodes(spark, sf_dir).where(where).groupBy("territory_id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+@query(_UP + " SELECT territory_id, CASE WHEN len(path) <= 1 THEN 'federal' WHEN len(path) = 2 THEN 'regional' ELSE 'municipal' END AS level FROM paths")
+def level_from_depth(spark, sf_dir):
+    return territory.paths(corpus.territories(spark, sf_dir)).select("territory_id", fi.level_of(F.size("path")).alias("level"))
+
+
+@query(f"WITH {TERRITORIES_SQL} SELECT territory_id, name FROM territories WHERE contains(lower(name), 'n_1') AND territory_id <> -1")
+def territory_by_name(spark, sf_dir):
+    t = corpus.territories(spark, sf_dir)
+    return territory.find_by_name(t, territory.closure(territory.paths(t)), " N_1 ", -1).select("territory_id", "name")
+
+
+@query()
+def best_region_match(spark, sf_dir):
+    t = corpus.territories(spark, sf_dir)
+    heads = t.where("level = 3").select(F.col("territory_id").alias("query_id"), F.concat(F.lit("Republic of "), F.initcap("name")).alias("query"))
+    return territory.best_match(heads, t.where("level = 3")).select("query_id", "territory_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def scope_from_hints(spark, sf_dir):
+    t = corpus.territories(spark, sf_dir)
+    heads = corpus.documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*map(F.lit, ("federal", "regional", "municipal", "unknown"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("level_hint"), F.when(F.col("doc_id") % 4 == 1, "ASIA").otherwise(F.col("territory_name")).alias("territory_hint"), F.lit("").alias("region_hint"))
+    return territory.scope_of_heads(heads, t, -1)
+
+
+# --- listing -----------------------------------------------------------------------------------
+
+_LIST = f"""WITH {NODES_SQL}, each AS (SELECT *, unnest(versions) AS v FROM nodes), grouped AS (
+  SELECT name, v AS version, count(*) AS node_count, array_to_string(list_sort(list(DISTINCT block)), ',') AS blocks, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags,
+    arg_min(uploaded_at, struct_pack(a := ord, b := id)) AS uploaded_at, coalesce(arg_min(source_object_key, struct_pack(a := ord, b := id)) FILTER (WHERE version = v AND source_object_key IS NOT NULL), arg_min(source_object_key, struct_pack(a := ord, b := id)) FILTER (WHERE source_object_key IS NOT NULL)) AS source_object_key,
+    arg_min(doc_id, struct_pack(a := ord, b := id)) AS doc_id FROM each WHERE {{}} GROUP BY name, v)
+SELECT * FROM grouped"""
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    return df.select("name", "version", "node_count", joined("blocks").alias("blocks"), joined("tags").alias("tags"), "uploaded_at", "source_object_key", "doc_id")
+
+
+@query(_LIST.format(_SHARED))
+def list_documents(spark, sf_dir):
+    return _listed(library.list_documents(corpus.nodes(spark, sf_dir).where(search.shared_only())))
+
+
+@query(_LIST.format(f"{_SHARED} AND v = '000041'"))
+def list_documents_version(spark, sf_dir):
+    return _listed(library.list_documents(corpus.nodes(spark, sf_dir).where(search.shared_only()), version="000041"))
+
+
+@query(_LIST.format(_SHARED) + " WHERE uploaded_at >= '2024-01-01T01:00:00' AND uploaded_at <= '2024-01-01T03:00:00'")
+def list_documents_uploaded_range(spark, sf_dir):
+    return _listed(library.list_documents(corpus.nodes(spark, sf_dir).where(search.shared_only()), uploaded_from="2024-01-01T01:00:00", uploaded_to="2024-01-01T03:00:00"))
+
+
+@query(f"WITH {NODES_SQL} SELECT doc_id, count(*) AS node_count, min(name) AS name, min(version) AS version, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM nodes WHERE document_level = 'municipal' GROUP BY doc_id")
+def library_list(spark, sf_dir):
+    return library.library(corpus.nodes(spark, sf_dir).where("document_level = 'municipal'")).select("doc_id", "node_count", "name", "version", joined("tags").alias("tags"))
+
+
+@query(f"WITH {NODES_SQL} SELECT DISTINCT unnest(tags) AS tag FROM nodes WHERE {_SHARED}")
+def tags_distinct(spark, sf_dir):
+    return library.tags(corpus.nodes(spark, sf_dir), search.shared_only())
+
+
+@query(f"WITH {NODES_SQL} SELECT territory_id, min(territory_name) AS territory_name, min(document_level) AS document_level, count(DISTINCT doc_id) AS documents FROM nodes WHERE {_SHARED} GROUP BY territory_id")
+def scopes_counts(spark, sf_dir):
+    return library.scopes(corpus.nodes(spark, sf_dir), search.shared_only())
+
+
+@query(f"WITH {NODES_SQL} SELECT doc_id, string_agg(text, chr(10) ORDER BY ord) AS head, count(*) AS texts FROM nodes WHERE ord < 14 AND tagging_status = 'pending' AND tagging_attempts < 5 GROUP BY doc_id")
+def pending_head_texts(spark, sf_dir):
+    return library.pending_heads(corpus.nodes(spark, sf_dir))
+
+
+@query(f"WITH {NODES_SQL} SELECT name, arg_max(version, version) AS version, arg_max(source_object_key, version) AS source_object_key FROM nodes WHERE source_object_key IS NOT NULL GROUP BY name")
+def source_point(spark, sf_dir):
+    return library.source_point(corpus.nodes(spark, sf_dir))
+
+
+@query(f"WITH {DOCS_SQL} SELECT name, doc_id, version FROM docs QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC) = 1")
+def latest_versions(spark, sf_dir):
+    return library.latest(corpus.documents(spark, sf_dir), "name").select("name", "doc_id", "version")
+
+
+# --- assembling and reading --------------------------------------------------------------------
+
+
+@query(f"WITH {NODES_SQL} SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY ord) FILTER (WHERE text <> ''), '') AS text, count(*) AS node_count FROM nodes GROUP BY doc_id")
+def assemble_document(spark, sf_dir):
+    return library.assembled(corpus.nodes(spark, sf_dir))
+
+
+_SPANS = f"{NODES_SQL}, spans AS (SELECT doc_id, ord, id, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS e, length(text) AS n FROM nodes)"
+
+
+@query(f"WITH {_SPANS} SELECT id, CAST(e - n AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\" FROM spans")
+def source_offsets(spark, sf_dir):
+    return structure.source_spans(corpus.nodes(spark, sf_dir).withColumn("block_idx", F.col("order"))).select("id", "start", "end")
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, CAST(min(e - n) AS INTEGER) AS char_start, CAST(max(e) AS INTEGER) AS char_end, doc_id || ':span:' || CAST(min(e - n) AS INTEGER) || ':' || CAST(max(e) AS INTEGER) AS span_id FROM spans WHERE ord IN (1, 3) GROUP BY doc_id")
+def grounding_minmax(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir).withColumn("block_idx", F.col("order"))
+    spans = structure.source_spans(n)
+    whole = corpus.documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("id"), F.array(F.lit(1), F.lit(3), F.lit(1_000_000)).alias("src_ids"))
+    return structure.grounded(whole, spans).where("char_start is not null").select("doc_id", "char_start", "char_end", "span_id")
+
+
+@query(f"WITH {NODES_SQL} SELECT n.id, p.text AS parent_text, (SELECT count(*) FROM nodes c WHERE c.parent_id = n.id) AS children FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id")
+def node_relatives(spark, sf_dir):
+    n = library.numbered_links(corpus.nodes(spark, sf_dir))
+    return library.relatives(n).select("id", "parent_text", "children")
+
+
+@query(f"WITH {NODES_SQL} SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
+def prev_next(spark, sf_dir):
+    return library.numbered_links(corpus.nodes(spark, sf_dir)).select("id", "prev_id", "next_id")
+
+
+@query(f"WITH {TURNS_SQL} SELECT id, string_agg(text, ' ') FILTER (WHERE text <> '') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM turns")
+def context_window(spark, sf_dir):
+    return search.window_context(corpus.turns(spark, sf_dir), 2).select("id", "context")
+
+
+@query(f"WITH {TURNS_SQL} SELECT t.id, concat_ws(' ', b.text, a.text, t.text, c.text, d.text) AS context FROM turns t LEFT JOIN turns a ON a.id = t.prev_id LEFT JOIN turns b ON b.id = a.prev_id LEFT JOIN turns c ON c.id = t.next_id LEFT JOIN turns d ON d.id = c.next_id WHERE t.role = 'system'")
+def context_walk(spark, sf_dir):
+    t = corpus.turns(spark, sf_dir)
+    return search.context(t, t.where("role = 'system'"), 2).select("id", "context")
+
+
+# --- versions ----------------------------------------------------------------------------------
+
+_HASHED = f"{DOCS_SQL}, hashed AS (SELECT doc_id, name, version, sha256(text) AS content_hash FROM docs)"
+
+
+def _hashed(spark, sf_dir) -> DataFrame:
+    n = corpus.nodes(spark, sf_dir)
+    return versions.content_hashes(n)
+
+
+@query(f"WITH {_HASHED} SELECT content_hash, count(*) AS n, min(doc_id) AS first FROM hashed GROUP BY content_hash HAVING count(*) > 1")
+def content_hash_dups(spark, sf_dir):
+    return versions.duplicates(_hashed(spark, sf_dir))
+
+
+@query(f"WITH {_HASHED}, old AS (SELECT * FROM hashed WHERE doc_id % 2 = 0) SELECT doc_id, content_hash FROM hashed WHERE doc_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM old)")
+def reject_duplicates(spark, sf_dir):
+    h = _hashed(spark, sf_dir).withColumn("scope_key", F.lit("shared"))
+    accepted, _ = versions.reject_known(h.where("doc_id % 2 = 1"), h.where("doc_id % 2 = 0"))
+    return accepted.select("doc_id", "content_hash")
+
+
+@query("SELECT DISTINCT 'src' || (doc_id % 25) AS name FROM documents WHERE 'src' || (doc_id % 25) NOT IN (SELECT source FROM documents)")
+def ghost_registry(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir)
+    registry = d.select(F.concat(F.lit("src"), F.col("doc_id") % 25).alias("name")).distinct()
+    return versions.ghosts(registry, d)
+
+
+@query(f"WITH {NODES_SQL} SELECT id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS block_hash FROM nodes")
+def block_hashes(spark, sf_dir):
+    return versions.block_hashes(corpus.nodes(spark, sf_dir)).select("id", "block_hash")
+
+
+@query(f"WITH {NODES_SQL}, h AS (SELECT doc_id, name, version, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS b FROM nodes), p AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY name ORDER BY version) AS before FROM docs) SELECT p.doc_id, count(*) AS blocks, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM h o WHERE o.doc_id = p.before AND o.b = h.b)) AS unchanged FROM p JOIN h ON h.doc_id = p.doc_id GROUP BY p.doc_id")
+def block_unchanged_vs_prev_version(spark, sf_dir):
+    h = versions.block_hashes(corpus.nodes(spark, sf_dir)).select("doc_id", "block_hash")
+    d = corpus.documents(spark, sf_dir).select("doc_id", F.lag("doc_id").over(Window.partitionBy("name").orderBy("version")).alias("before"))
+    old = h.select(F.col("doc_id").alias("old_doc"), F.col("block_hash").alias("old_hash")).distinct()
+    j = h.join(d, "doc_id").join(old, (F.col("before") == F.col("old_doc")) & (F.col("block_hash") == F.col("old_hash")), "left")
+    return j.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count("old_doc").alias("unchanged"))
+
+
+@query(f"""WITH {NODES_SQL}, k AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM nodes),
+a AS (SELECT *, row_number() OVER (PARTITION BY name, key ORDER BY ord, id) AS r FROM k WHERE doc_id % 40 < 20), b AS (SELECT *, row_number() OVER (PARTITION BY name, key ORDER BY ord, id) AS r FROM k WHERE doc_id % 40 >= 20)
+SELECT name, b.id AS new_id, a.id AS old_id FROM a JOIN b USING (name, key, r)""")
+def text_match_pairs(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir)
+    return versions.text_matches(n.where("doc_id % 40 < 20"), n.where("doc_id % 40 >= 20")).select("name", "new_id", "old_id")
+
+
+@query(f"WITH {DOCS_SQL} SELECT d.doc_id, coalesce((SELECT string_agg(o.version, ',' ORDER BY o.version) FROM docs o WHERE o.name = d.name AND o.version <> d.version), '') AS other_versions FROM docs d")
+def other_versions(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir).select("doc_id", "name", "version")
+    return versions.other_versions(d).select("doc_id", joined("other_versions").alias("other_versions"))
+
+
+@query(f"WITH {NODES_SQL}, t AS (SELECT *, CASE WHEN name = 'src1' THEN list_filter(versions, lambda v: v <> '000041') ELSE versions END AS left_ FROM nodes) SELECT id, array_to_string(left_, ',') AS versions FROM t WHERE len(left_) > 0")
+def delete_version(spark, sf_dir):
+    return versions.delete(corpus.nodes(spark, sf_dir), "src1", "000041").select("id", joined("versions").alias("versions"))
+
+
+@query(f"WITH {NODES_SQL} SELECT name, count(*) FILTER (WHERE len(versions) = 1) AS deleted, count(*) FILTER (WHERE len(versions) > 1) AS untagged, '000041' AS versions_removed FROM nodes WHERE list_contains(versions, '000041') GROUP BY name")
+def delete_counts(spark, sf_dir):
+    return versions.deletion_counts(corpus.nodes(spark, sf_dir), "000041")
+
+
+@query(f"WITH {NODES_SQL} SELECT name, count(*) AS nodes FROM nodes WHERE name <> 'src2' OR doc_id % 40 = 2 GROUP BY name")
+def reload(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir)
+    for c in ("territory_type_name", "tagging_error", "level_source", "territory_source"):
+        n = n.withColumn(c, F.lit("auto"))
+    n = n.withColumns({"territory_type_id": F.lit(3), "territory_confidence": F.lit(1.0)})
+    return versions.reload(n, n.where("name = 'src2' AND doc_id % 40 = 2")).groupBy("name").agg(F.count("*").alias("nodes"))
+
+
+@query()
+def delta_update(spark, sf_dir):
+    """Each document against the one of its name before it, aligned by difflib."""
+    n = versions.block_hashes(corpus.nodes(spark, sf_dir)).select("doc_id", "name", "id", "order", "block_hash", F.array("order").alias("src_block_ids"))
+    e = n.groupBy(F.col("doc_id").alias("_d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "block_hash"))), lambda x: x["block_hash"]).alias("edition_hashes"))
+    d = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("_c"), F.lead("doc_id").over(Window.partitionBy("name").orderBy("version")).alias("_after"))
+    full = n.join(e, F.col("doc_id") == F.col("_d")).drop("_d")
+    old = full.join(d, F.col("doc_id") == F.col("_c")).where("_after is not null").withColumn("name", F.col("_after").cast("string"))
+    new = full.withColumn("name", F.col("doc_id").cast("string")).join(d.select(F.col("_after").alias("_x")), F.col("doc_id") == F.col("_x"), "left_semi")
+    return versions.delta(old, new)
+
+
+@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE type END AS type, CASE WHEN doc_id % 5 = 0 THEN '2024-05-05' END AS manual_edited_at FROM nodes")
+def editor_patch(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir).withColumn("manual_edited_at", F.lit(None).cast("string"))
+    return versions.edit(n, F.col("doc_id") % 5 == 0, {"type": F.lit("edited")}, "2024-05-05").select("id", "type", "manual_edited_at")
+
+
+@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN doc_id % 9 = 4 THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS text FROM nodes")
+def upsert_nodes(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir)
+    return versions.upsert(n, n.where("doc_id % 9 = 4").withColumn("text", F.upper("text"))).select("id", "text")
+
+
+# --- keys and numbers --------------------------------------------------------------------------
+
+_HEAD = "(SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents)"
+_KEY = "coalesce(nullif(trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'unknown')"
+
+
+def _heads(spark, sf_dir) -> DataFrame:
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("line"))
+
+
+@query(f"SELECT doc_id, {_KEY.format('line')} AS key FROM {_HEAD}")
+def normalize_key(spark, sf_dir):
+    return _heads(spark, sf_dir).select("doc_id", fi.normalize_key(F.col("line")).alias("key"))
+
+
+@query("SELECT doc_id, list_filter(string_split_regex(text, '[^0-9]+'), lambda x: length(x) = 4)[-1] AS version FROM documents")
+def version_from_name(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", fi.version_of_name(F.col("text")).alias("version"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct([{_KEY.format('source')}, 'No. ' || doc_id, {_KEY.format(chr(39) + 'No. ' + chr(39) + ' || doc_id')}, 'code:No. ' || doc_id])), '|') AS keys FROM documents")
+def lookup_keys(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select("doc_id", joined(fi.lookup_keys(F.col("source"), F.create_map(F.lit("code"), F.concat(F.lit("No. "), F.col("doc_id")))), "|").alias("keys"))
+
+
+@query(f"SELECT doc_id, trim(replace(upper(trim(regexp_replace(line, '\\s+', ' ', 'g'))), 'ẞ', 'SS'), ' .,;:') AS key FROM {_HEAD}")
+def normalize_designation(spark, sf_dir):
+    return _heads(spark, sf_dir).select("doc_id", fi.normalize_designation(F.col("line")).alias("key"))
+
+
+_NUMBER = "CASE doc_id % 5 WHEN 0 THEN '4.' || (doc_id % 7) || '.' WHEN 1 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN 'a)' WHEN 3 THEN '1.2.3.4.5.6.7' ELSE ' 3.12) ' END"
+
+
+@query(f"WITH n AS (SELECT doc_id, string_split(rtrim(trim({_NUMBER}), '.)'), '.') AS p FROM documents) SELECT doc_id, CASE WHEN len(p) BETWEEN 1 AND 6 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '[0-9]{{1,3}}'))) = 0 THEN CAST(len(p) AS VARCHAR) END AS rank FROM n")
+def numbering_rank(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", fi.numbering_rank(F.expr(_NUMBER.replace("VARCHAR", "STRING"))).cast("string").alias("rank"))
+
+
+_TYPE = "CASE doc_id % 6 WHEN 0 THEN 'Table of-contents' WHEN 1 THEN ' Part ' WHEN 2 THEN '' WHEN 3 THEN 'пункт' WHEN 4 THEN 'foreword' ELSE 'my kind' END"
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'toc' WHEN 1 THEN 'chapter' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'clause' WHEN 4 THEN 'preface' ELSE 'my_kind' END AS kind FROM documents")
+def categorize(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", fi.categorize(F.expr(_TYPE)).alias("kind"))
+
+
+@query("SELECT doc_id, 'd' || doc_id || ':span:' || (doc_id % 11) || ':' || n_chars AS span_id FROM documents")
+def span_ids(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select("doc_id", fi.span_id(F.concat(F.lit("d"), F.col("doc_id")), F.col("doc_id") % 11, F.col("n_chars")).alias("span_id"))
+
+
+@query(f"SELECT doc_id, {_KEY.format('source')} || '__sha256_' || substr(sha256(text), 1, 12) AS version_id FROM documents")
+def version_ids(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", fi.version_id(F.col("source"), F.sha2("text", 256)).alias("version_id"))
+
+
+@query("SELECT event_id, 'doc' AS src, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, CASE WHEN event_id % 2 = 0 THEN 'fragment' ELSE 'document' END AS layer FROM events")
+def metadata_merge(spark, sf_dir):
+    e = corpus.table(spark, sf_dir, "events")
+    doc = F.create_map(F.lit("src"), F.lit("doc"), F.lit("layer"), F.lit("document"))
+    frag = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("layer"), F.lit("fragment"), F.lit("k"), F.get_json_object("props", "$.k"))).otherwise(F.create_map(F.lit("k"), F.get_json_object("props", "$.k")))
+    m = fi.merged(doc, frag)
+    return e.select("event_id", m["src"].alias("src"), m["k"].alias("k"), m["layer"].alias("layer"))
+
+
+@query("SELECT event_id, json_type(json(props)) = 'OBJECT' AS is_object, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "events").select("event_id", fi.is_json_object(F.col("props")).alias("is_object"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# --- structure ---------------------------------------------------------------------------------
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n| \| '), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents) SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS seg, unnest(p) AS text FROM d""")
+def split_segments(spark, sf_dir):
+    """Lines and table-like cells as segments; the texts have no inline markers, so the rule for those leaves them whole."""
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split("text", r"\n| \| "), lambda x: F.btrim(x)), lambda x: x != "").alias("p"))
+    return d.select("doc_id", F.posexplode("p").alias("seg", "text"))
+
+
+_SEGS = NODES_SQL + """, s AS (SELECT doc_id, ord, id, text, trim(lag(text) OVER w) AS p, trim(text) AS c FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+b AS (SELECT doc_id, ord, id, text, CASE WHEN p IS NULL THEN 'new'
+  WHEN regexp_matches(c, '^\\s*(?:[0-9]+(?:\\.[0-9]+)*[.)]?|[\\p{L}\\p{N}_][.)]|[IVXLCDM]+[.)]|[-*•·–—‣◦])\\s+\\S') OR p = '' OR c = '' THEN 'new'
+  WHEN NOT regexp_matches(p, '[.!?;:…。！？»")]$') AND ((regexp_extract(c, '\\p{L}') <> '' AND lower(regexp_extract(c, '\\p{L}')) = regexp_extract(c, '\\p{L}') AND upper(regexp_extract(c, '\\p{L}')) <> regexp_extract(c, '\\p{L}')) OR regexp_matches(c, '^[\\[(«"0-9]')) THEN 'continuation'
+  WHEN regexp_matches(p, '[.!?…]$') AND upper(substr(c, 1, 1)) = substr(c, 1, 1) AND lower(substr(c, 1, 1)) <> substr(c, 1, 1) THEN 'new' ELSE 'uncertain' END AS boundary FROM s)"""
+
+
+@query(f"WITH {_SEGS} SELECT id, boundary FROM b")
+def heuristic_boundaries(spark, sf_dir):
+    w = Window.partitionBy("doc_id").orderBy("order")
+    n = corpus.nodes(spark, sf_dir)
+    rule = ft.boundary(F.lag("text").over(w), F.col("text"), F.lit("Text"), F.lit("Text"))
+    return n.withColumn("boundary", F.when(F.lag("id").over(w).isNull(), "new").otherwise(rule)).select("id", "boundary")
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    n = corpus.nodes(spark, sf_dir).select("doc_id", F.col("order").alias("seg"), F.col("order").alias("src"), "text", F.lit("Text").alias("category"), F.lit(None).cast("string").alias("html"))
+    return structure.parts_of(n)
+
+
+@query(f"WITH {_SEGS}, g AS (SELECT *, CAST(sum(CASE WHEN boundary = 'continuation' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS part FROM b) SELECT doc_id, part, string_agg(text, ' ' ORDER BY ord) AS text, count(*) AS segments FROM g GROUP BY doc_id, part")
+def merge_parts(spark, sf_dir):
+    return _parts(spark, sf_dir).select("doc_id", "part", "text", F.size("src_ids").cast("bigint").alias("segments"))
+
+
+@query()
+def sentences(spark, sf_dir):
+    n = corpus.nodes(spark, sf_dir)
+    return n.select("id", F.posexplode(ft.sentences(F.col("text"))).alias("k", "sentence"))
+
+
+@query()
+def make_windows(spark, sf_dir):
+    return structure.windows(_parts(spark, sf_dir))
+
+
+@query("SELECT user_id AS doc_id, event_id % 50 + event_id % 7 AS item, arg_max(event_type, struct_pack(p := event_id % 7, w := -(event_id // 50))) AS value FROM events GROUP BY ALL")
+def reconcile(spark, sf_dir):
+    e = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.expr("event_id div 50").alias("window"), (F.col("event_id") % 50).alias("first"), (F.col("event_id") % 7).alias("pos"), F.col("event_type").alias("value"))
+    return structure.reconcile(e)
+
+
+@query("""WITH r AS (SELECT c.doc_id, list({'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': CAST(1 + (c.doc_id * 7 + k * 5) % 4 AS INTEGER)} ORDER BY k) AS s FROM documents c, range(6) t(k) GROUP BY c.doc_id),
+f AS (SELECT doc_id, list_reduce(s, lambda a, x: {
+  'open': list_append(list_filter(a.open, lambda z: z < x.r), CAST(len(list_filter(a.open, lambda z: z < x.r)) + 1 AS INTEGER)),
+  'depths': list_append(a.depths, CAST(len(list_filter(a.open, lambda z: z < x.r)) + 1 AS INTEGER)), 'r': x.r}, {'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': 0}) AS a FROM r)
+SELECT doc_id, array_to_string(a.depths, ',') AS depths FROM f""")
+def hierarchy_depths(spark, sf_dir):
+    r = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (1 + (F.col("doc_id") * 7 + k * 5) % 4).cast("int"))
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", joined(structure.depths_sql(r)).alias("depths"))
+
+
+def _numbered(spark, sf_dir) -> DataFrame:
+    p = _parts(spark, sf_dir)
+    number = F.when(F.col("part") % 4 == 0, F.concat((F.col("part") / 4 + 1).cast("int"), F.lit("."))).when(F.col("part") % 4 == 1, F.concat_ws(".", (F.col("part") / 4 + 1).cast("int"), F.lit("1")))
+    return p.withColumns({"type": F.lit("paragraph"), "numbering": F.coalesce(number, F.lit("")), "relation": F.when(F.col("part") % 8 >= 6, "top").when(F.col("part") % 4 == 3, "same").otherwise("deeper"), "block": F.when(F.col("part") % 8 >= 6, "amendment").otherwise("main"), "tags": F.array().cast("array<string>")})
+
+
+@query()
+def hierarchy_flatten(spark, sf_dir):
+    return structure.hierarchy(_numbered(spark, sf_dir)).select("doc_id", "order", "id", "parent_id", "prev_id", "next_id", "depth", "breadcrumb", "numbering", "type")
+
+
+@query()
+def amendment_groups(spark, sf_dir):
+    return structure.hierarchy(_numbered(spark, sf_dir)).where("type = 'amendment'").select("doc_id", "order", F.size("child_ids").alias("children"))
+
+
+@query()
+def structure_pipeline(spark, sf_dir):
+    """Blocks to nodes by the offline rules."""
+    blocks = corpus.nodes(spark, sf_dir).select("doc_id", F.col("order").alias("block_idx"), "text", F.lit("NarrativeText").alias("category"), F.lit(None).cast("string").alias("html"))
+    parts = structure.parts_of(structure.split_segments(structure.raw_blocks(blocks)))
+    return structure.hierarchy(structure.tagged(parts)).select("doc_id", "order", "type", "numbering", "depth", F.size("src_ids").alias("blocks"))
+
+
+# --- links -------------------------------------------------------------------------------------
+
+
+def _refs(spark, sf_dir) -> DataFrame:
+    d = corpus.documents(spark, sf_dir)
+    target = F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("SRC"), (F.col("doc_id") * 7) % 25, F.lit(".")))
+    return d.select(F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("id"), "name", F.concat(F.lit("see "), target).alias("raw"), target.alias("target_name"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("п. 1."), F.col("doc_id") % 4)).otherwise("").alias("target_numbering"))
+
+
+_REFS = f"""{NODES_SQL}, refs AS (
+  SELECT doc_id, name, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'SRC' || ((doc_id * 7) % 25) END AS norm, CASE WHEN doc_id % 3 = 0 THEN '1.' || (doc_id % 4) ELSE '' END AS num FROM docs),
+whole AS (SELECT name, doc_id AS w_doc, version AS w_version FROM nodes QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC, ord, id) = 1),
+clauses AS (SELECT name, numbering, doc_id AS c_doc, version AS c_version, id AS c_node FROM nodes QUALIFY row_number() OVER (PARTITION BY name, numbering ORDER BY version DESC, ord, id) = 1),
+r AS (SELECT refs.*, norm = '' OR norm = upper(refs.name) AS internal, own.id AS own_node, w_doc, w_version, c_doc, c_version, c_node FROM refs
+  LEFT JOIN nodes own ON (norm = '' OR norm = upper(refs.name)) AND own.doc_id = refs.doc_id AND own.numbering = num
+  LEFT JOIN whole ON norm <> '' AND norm <> upper(refs.name) AND upper(whole.name) = norm
+  LEFT JOIN clauses ON clauses.name = whole.name AND clauses.numbering = num)"""
+
+
+@query(f"WITH {_REFS} SELECT doc_id, CASE WHEN internal THEN 'internal' ELSE 'external' END AS scope, CAST(CASE WHEN internal THEN doc_id ELSE coalesce(c_doc, w_doc) END AS VARCHAR) AS target_doc_id, CASE WHEN internal THEN own_node ELSE c_node END AS target_node_id, CASE WHEN internal THEN own_node IS NOT NULL OR num = '' ELSE w_doc IS NOT NULL END AS resolved FROM r")
+def resolve_references(spark, sf_dir):
+    return references.resolve(_refs(spark, sf_dir), corpus.nodes(spark, sf_dir)).select("doc_id", "scope", F.col("target_doc_id").cast("string").alias("target_doc_id"), "target_node_id", "resolved")
+
+
+@query(f"WITH {_REFS} SELECT norm AS target_key, doc_id AS source_doc_id, num AS target_numbering FROM r WHERE NOT internal AND w_doc IS NULL")
+def pending_refs(spark, sf_dir):
+    r = references.resolve(_refs(spark, sf_dir), corpus.nodes(spark, sf_dir))
+    return references.pending(r).select("target_key", "source_doc_id", "target_numbering")
+
+
+@query(f"WITH {NODES_SQL} SELECT name, numbering, id AS hit_node_id, version AS hit_version FROM nodes QUALIFY row_number() OVER (PARTITION BY name, numbering ORDER BY version DESC, ord, id) = 1")
+def find_node_latest(spark, sf_dir):
+    _, clauses = references.find_node(corpus.nodes(spark, sf_dir))
+    return clauses.select("name", "numbering", "hit_node_id", "hit_version")
+
+
+@query(f"WITH {_REFS} SELECT doc_id || ':0' AS id, norm = 'SRC22' AND NOT internal AS resolved, CASE WHEN norm = 'SRC22' AND NOT internal THEN 'new-doc' END AS target_doc_id, CASE WHEN norm = 'SRC22' AND NOT internal AND num = '1.3' THEN 'new:3' END AS target_node_id FROM r")
+def backfill_refs(spark, sf_dir):
+    r = references.resolve(_refs(spark, sf_dir), corpus.nodes(spark, sf_dir))
+    waiting = references.pending(r)
+    ref = F.struct(F.col("raw"), F.lit(None).cast("string").alias("target_doc_id"), F.lit(None).cast("string").alias("target_version"), F.lit(None).cast("string").alias("target_node_id"), F.lit(False).alias("resolved"))
+    holders = _refs(spark, sf_dir).select("id", F.array(ref).alias("references"))
+    arrived = spark.createDataFrame([("1.3", "new:3"), ("1.1", "new:1")], "numbering string, node_id string")
+    out, _ = references.backfill(holders, waiting, "src22", "new-doc", "1", arrived.where("numbering = '1.3'"))
+    f = F.col("references")[0]
+    return out.select("id", f["resolved"].alias("resolved"), f["target_doc_id"].alias("target_doc_id"), f["target_node_id"].alias("target_node_id"))
+
+
+# --- sources, users, jobs, events --------------------------------------------------------------
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages")
+def pages_extract_text(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def pages_title(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", files.html_title(F.col("html")).alias("title"))
+
+
+def _html(batches):
+    for pdf in batches:
+        rows = [(i, k, *b[:2]) for i, h in zip(pdf["page_id"], pdf["html"], strict=True) for k, b in enumerate(files.html_blocks(h or ""))]
+        yield pd.DataFrame(rows, columns=["page_id", "block_idx", "text", "category"])
+
+
+@query()
+def pages_blocks(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(_html, "page_id long, block_idx int, text string, category string")
+
+
+_STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'error' ELSE 'done' END"
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    return corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.expr(_STATUS).alias("status"), F.col("ts").alias("created_at"), "user_id")
+
+
+@query(f"SELECT event_id AS job_id, {_STATUS} AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def jobs_recent(spark, sf_dir):
+    return library.jobs_recent(_jobs(spark, sf_dir)).select("job_id", "status")
+
+
+@query(f"SELECT event_id AS job_id, {_STATUS} AS status FROM events WHERE event_type IN ('signup', 'view')")
+def jobs_active(spark, sf_dir):
+    return library.jobs_active(_jobs(spark, sf_dir)).select("job_id", "status")
+
+
+@query(f"SELECT user_id AS job_id, arg_max({_STATUS}, struct_pack(t := ts, s := {_STATUS})) AS status, max(ts) AS updated_at FROM events GROUP BY user_id")
+def job_last_state(spark, sf_dir):
+    log = _jobs(spark, sf_dir).select(F.col("user_id").alias("job_id"), "status", F.col("created_at").alias("ts"))
+    return library.job_state(log).select("job_id", "status", "updated_at")
+
+
+@query("SELECT event_id AS seq, event_type AS model FROM events WHERE event_type NOT IN ('signup', 'view') UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 10 = 9 AND event_type IN ('signup', 'view')")
+def dead_letters(spark, sf_dir):
+    from codexa.streaming.outbox import outcome
+
+    known = F.create_map(*[F.lit(x) for x in ("signup", "DocumentProcessed", "view", "DocumentUpdated")])
+    e = corpus.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type"), F.coalesce(F.try_element_at(known, F.col("event_type")), F.col("event_type")).alias("model"), (F.col("event_id") % 10).cast("int").alias("attempts"))
+    return outcome(e, F.col("attempts") == 9).where("status = 'dead'").select("seq", F.col("event_type").alias("model"))
+
+
+@query("SELECT user_id, min(event_id) AS seq FROM events GROUP BY user_id")
+def outbox_fifo_head(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("seq"))
+
+
+@query(f"WITH {NODES_SQL}, i AS (SELECT 'u' || u AS user_id, 'p' || p AS project_id FROM range(3) a(u), range(5) b(p)) SELECT i.user_id, i.project_id, count(nodes.id) AS document_count FROM i LEFT JOIN nodes USING (user_id, project_id) GROUP BY ALL")
+def user_index_counts(spark, sf_dir):
+    i = spark.range(15).select(F.concat(F.lit("u"), F.col("id") % 3).alias("user_id"), F.concat(F.lit("p"), F.expr("id div 3")).alias("project_id"))
+    return scopes.index_counts(i, corpus.nodes(spark, sf_dir))
+
+
+@query("WITH RECURSIVE l AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey > 1 THEN CAST(c_custkey // 2 AS VARCHAR) END AS parent_id FROM customer), up AS (SELECT id, parent_id AS above, [id] AS chain FROM l UNION ALL SELECT u.id, l.parent_id, list_append(u.chain, l.id) FROM up u JOIN l ON l.id = u.above WHERE len(u.chain) < 32) SELECT id, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM up GROUP BY id")
+def scenario_chain(spark, sf_dir):
+    c = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") > 1, F.expr("c_custkey div 2").cast("string")).alias("parent_id"))
+    return scopes.chains(c).select("id", joined("chain", ">").alias("chain"))
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT user_id, seq, CAST(round_even(seq / n * 100, 0) AS INTEGER) AS task_progress FROM s) SELECT user_id AS job_id, seq, task_progress, CAST(max(round_even(task_progress * 1.0, 0)) OVER (PARTITION BY user_id ORDER BY seq) AS INTEGER) AS overall_progress FROM p""")
+def job_progress(spark, sf_dir):
+    w = Window.partitionBy("user_id")
+    s = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.row_number().over(w.orderBy("event_id")).alias("seq"), F.lit("only").alias("stage"), F.row_number().over(w.orderBy("event_id")).alias("done"), F.count("*").over(w).alias("total"))
+    return library.progress(s, {"only": 1.0}).select("job_id", F.col("seq").cast("bigint").alias("seq"), "task_progress", "overall_progress")
+
+
+@query(f"WITH {DOCS_SQL} SELECT name, count(*) AS documents, CAST(count(user_id) AS BIGINT) AS own FROM docs GROUP BY name")
+def scope_keys(spark, sf_dir):
+    d = corpus.documents(spark, sf_dir).withColumn("scope", scopes.scope_key(F.col("user_id"), F.col("project_id")))
+    return d.groupBy("name").agg(F.count("*").alias("documents"), F.count_if(F.col("scope") != "shared").alias("own"))
+
+
+@query()
+def embedded_documents(spark, sf_dir):
+    from codexa.providers import HashEmbedder, embedded
+
+    v = embedded(HashEmbedder(16))
+    return corpus.table(spark, sf_dir, "documents").withColumn("v", v(F.col("text"))).select("doc_id", joined(F.transform("v", lambda x: F.format_number(x, 4))).alias("vector"))
