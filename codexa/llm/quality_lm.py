@@ -122,8 +122,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(np.clip(k - (k + 1) * y * b / a, 0.05, k - 0.05)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _scored(shard: Broadcast, members: np.ndarray, at: int):
-    """Adds (sum of log p, bytes) of the shard's positions to each row; column `at` is the text."""
+def _scored(shard: Broadcast, members: np.ndarray, at: int, added: tuple[str, str]):
+    """Adds (sum of log p, bytes) of the shard's positions to each row, under the names `added`; column `at` is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Shard = shard.value
@@ -147,7 +147,7 @@ def _scored(shard: Broadcast, members: np.ndarray, at: int):
                     logs[lo + pos] = np.repeat(log, np.diff(np.concatenate([first, [len(code)]])))
                 sums = np.concatenate([[0.0], np.cumsum(logs)])
                 total[i:j] = sums[offsets[i + 1 : j + 1] - offsets[i]] - sums[offsets[i:j] - offsets[i]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(np.diff(offsets))], names=[*batch.schema.names, "_log_p", "_bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(np.diff(offsets))], names=[*batch.schema.names, *added])
 
     return run
 
@@ -197,23 +197,22 @@ class Model:
             yield self.spark.sparkContext.broadcast(Shard(*a, self.discounts, self.first)), members
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """docs' columns `keep`, one of them text, with _log_p and _bytes."""
+        """docs' columns `keep`, one of them text, and last the sum of log p and the bytes: _log_p and _bytes, with underscores where these names are taken."""
         at, shards = keep.index("text"), list(self.shards())
-        schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("_log_p", T.DoubleType()), T.StructField("_bytes", T.LongType())])
+        added = fresh(keep, "_log_p"), fresh(keep, "_bytes")
+        new = [T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.LongType())]
+        out = docs.select(*keep)
         if len(shards) == 1:
-            return docs.select(*keep).mapInArrow(_scored(*shards[0], at), schema)
+            return out.mapInArrow(_scored(*shards[0], at, added), T.StructType([*out.schema, *new]))
         # several shards: a pass for each adds its part, and the last sum is the whole
-        out = docs.select(*keep)
+        before = fresh([*keep, *added], "_before")
         for k, (shard, members) in enumerate(shards):
-            before = fresh(out.columns, "_before")
             if k:
-                out = out.withColumnsRenamed({"_log_p": before}).drop("_bytes")
-            held = out.columns
-            step = T.StructType([*[out.schema[c] for c in held], T.StructField("_log_p", T.DoubleType()), T.StructField("_bytes", T.LongType())])
-            out = out.mapInArrow(_scored(shard, members, held.index("text")), step)
+                out = out.withColumnsRenamed({added[0]: before}).drop(added[1])
+            out = out.mapInArrow(_scored(shard, members, at, added), T.StructType([*out.schema, *new]))
             if k:
-                out = out.withColumn("_log_p", F.col("_log_p") + F.col(before)).drop(before)
-        return out.select(*keep, "_log_p", "_bytes")
+                out = out.withColumn(added[0], F.col(added[0]) + F.col(before)).drop(before)
+        return out.select(*keep, *added)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -242,11 +241,11 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
         table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
         return F.coalesce(F.try_element_at(table, lang), F.lit(other).cast("double"))
 
-    def perplexity(lang) -> F.Column:
-        shrunk = (-F.col("_log_p") + PRIOR * by_language(lang, mean, 0.0 if overall is None else overall)) / (F.col("_bytes") + PRIOR)
-        return F.when(F.col("_bytes") > 0, F.exp(shrunk))
+    def perplexity(lang, log_p: str, size: str) -> F.Column:
+        shrunk = (-F.col(log_p) + PRIOR * by_language(lang, mean, 0.0 if overall is None else overall)) / (F.col(size) + PRIOR)
+        return F.when(F.col(size) > 0, F.exp(shrunk))
 
-    rated = calibrating.select("lang", perplexity(F.col("lang")).alias("p"))
+    rated = calibrating.select("lang", perplexity(F.col("lang"), "_log_p", "_bytes").alias("p"))
     limits = {r["lang"]: r["q"] * slack for r in rated.groupBy("lang").agg(F.percentile("p", quantile).alias("q"), F.count("*").alias("n")).where(F.col("n") >= ENOUGH).collect()}
     whole = rated.agg(F.percentile("p", quantile).alias("q")).first()["q"]
     whole = None if whole is None else whole * slack
@@ -254,10 +253,11 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     names = docs.columns
     text = docs.withColumn("text", F.col("text").cast("string"))
     scored = model.scored(text, names)
+    log_p, size = scored.columns[-2:]
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     p, t, a = (fresh(names, x) for x in ("perplexity", "threshold", "accepted"))
-    out = scored.withColumn(p, perplexity(lang)).withColumn(t, by_language(lang, limits, whole))
-    return out.withColumn(a, F.when(F.col("_bytes") == 0, F.lit(False)).otherwise(F.col(t).isNull() | (F.col(p) <= F.col(t)))).select(*names, p, t, a)
+    out = scored.withColumn(p, perplexity(lang, log_p, size)).withColumn(t, by_language(lang, limits, whole))
+    return out.withColumn(a, F.when(F.col(size) == 0, F.lit(False)).otherwise(F.col(t).isNull() | (F.col(p) <= F.col(t)))).select(*names, p, t, a)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
