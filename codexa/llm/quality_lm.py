@@ -1,6 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney model over byte 5-grams of trusted text.
 
-Trusted documents are those labelled quality 1 and not toxic. A fifth of them (by a hash of doc_id) calibrates: the threshold of a language is a quantile of the calibrating documents' perplexities, times `slack`; the others are counted. A language with fewer than `enough` calibrating documents takes the threshold over all of them. A document is accepted if its perplexity is at most its language's threshold.
+Trusted documents are those labelled quality 1 and not toxic. A fifth of them (by a hash of doc_id) calibrates, the others are counted. The threshold of a language is one of QUANTILES of its calibrating documents' perplexities: the one for which the share of the language's documents labelled otherwise that lies above it, less COST times the share of the calibrating ones above it, is greatest (the higher one of equals). A language with fewer than ENOUGH of either kind takes the choice over all languages, and with fewer than ENOUGH labelled otherwise in all, the threshold is the quantile `quantile`.
+
+Text that says the same word over and over has the perplexity of that word, which is an ordinary one. So the share of words that equal the word before, over the number of words plus FEW, has a limit that is chosen in the same way; without ENOUGH documents labelled otherwise there is none. A document is accepted if its perplexity is at most its language's threshold and its repeats are within their limit.
 
 Counts are whole: every 5-gram of every counted document goes into a shuffled sum, and the lower orders' continuation counts, context totals and discounts come from those. Scoring joins the counts shard by shard: an n-gram, its suffixes and their contexts all meet in the shard of the byte before the last, each shard holds `shard_rows` rows or fewer where a single such byte allows it, is sorted and broadcast, and each document's log-probabilities are added up. A corpus whose model fits one shard is scored in one pass.
 
@@ -24,7 +26,8 @@ from codexa.llm._base import U, buffers, fresh, pieces, prepare, small, stored
 
 ORDER, PAD = 5, 10
 PRIOR = 64
-QUANTILE, SLACK, ENOUGH = 0.995, 1.05, 20
+QUANTILE, QUANTILES, COST, ENOUGH = 0.995, (0.9, 0.95, 0.97, 0.98, 0.985, 0.99, 0.995, 1.0), 5, 20
+FEW = 10
 SHARD_ROWS, BROADCAST_ROWS = 6_000_000, 5_000_000
 _MASK = [0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF, 0xFFFFFFFFFF]
 
@@ -215,21 +218,42 @@ class Model:
         return out.select(*keep, *added)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(_id, _calibrates) of the documents that every label calls good and harmless."""
-    good = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return good.where("good").select("_id", (F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("_calibrates"))
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    """(_id, _good, _calibrates) of the labelled documents; good are those that every label calls good and harmless."""
+    of = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id"))
+    return of.agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("_good")).withColumn("_calibrates", F.pmod(F.xxhash64("_id"), F.lit(5)) == 0)
+
+
+def repeats(text: str) -> F.Column:
+    """The share of words that the same word follows."""
+    return F.regexp_count(text, F.lit(r"(?<!\S)(\S+)\s+(?=\1(?!\S))")) / (F.regexp_count(text, F.lit(r"\S+")) + FEW)
+
+
+def limits(rated: DataFrame, value: str) -> tuple[dict[str, float], float | None]:
+    """By language, and over all, the limit of `value` that parts good from other rows of `rated` best; None without enough of both."""
+    each = rated.select("_good", F.col(value).alias("v"), F.explode(F.array(F.struct(F.lit(False).alias("all"), "lang"), F.struct(F.lit(True).alias("all"), F.lit("").alias("lang")))).alias("of"))
+    tried = each.where("_good").groupBy("of").agg(F.percentile("v", F.array(*map(F.lit, QUANTILES))).alias("tried"))
+    above = [F.count_if((F.col("v") > F.col("tried")[k]) & (F.col("_good") == good)) for k in range(len(QUANTILES)) for good in (True, False)]
+    own, whole = {}, None
+    for r in each.join(F.broadcast(tried), "of").groupBy("of").agg(F.first("tried").alias("tried"), F.count_if("_good").alias("n"), F.count_if(~F.col("_good")).alias("others"), F.array(*above).alias("above")).collect():  # a row a language
+        if min(r["n"], r["others"]) >= ENOUGH:
+            best = max((r["above"][2 * k + 1] / r["others"] - COST * r["above"][2 * k] / r["n"], limit) for k, limit in enumerate(r["tried"]))[1]
+            if r["of"]["all"]:
+                whole = best
+            else:
+                own[r["of"]["lang"]] = best
+    return own, whole
 
 
-def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """docs with perplexity, threshold and accepted."""
     prepare(docs.sparkSession)
-    spark = docs.sparkSession
-    ids = small(stored(trusted_ids(labels), "trusted"), BROADCAST_ROWS)
+    ids = small(stored(labelled_ids(labels), "labelled"), BROADCAST_ROWS)
     slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    trusted = slim.join(ids, "_id")
-    model = Model(trusted.where("not _calibrates").select("text"), shard_rows)
-    calibrating = stored(model.scored(trusted.where("_calibrates"), ["text", "lang"]).where("_bytes > 0").select("lang", "_log_p", "_bytes"), "calibrating")
+    labelled = slim.join(ids, "_id")
+    model = Model(labelled.where("_good and not _calibrates").select("text"), shard_rows)
+    judged = stored(model.scored(labelled.where("_calibrates or not _good"), ["text", "lang", "_good"]).where("_bytes > 0").select("lang", "_good", "_log_p", "_bytes", repeats("text").alias("r")), "judged")
+    calibrating = judged.where("_good")
     means = {r["lang"]: (r["m"], r["n"]) for r in calibrating.groupBy("lang").agg((-F.sum("_log_p") / F.sum("_bytes")).alias("m"), F.count("*").alias("n")).collect()}
     overall = calibrating.agg((-F.sum("_log_p") / F.sum("_bytes")).alias("m")).first()["m"]
     mean = {k: m for k, (m, n) in means.items() if n >= ENOUGH}
@@ -245,10 +269,13 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
         shrunk = (-F.col(log_p) + PRIOR * by_language(lang, mean, 0.0 if overall is None else overall)) / (F.col(size) + PRIOR)
         return F.when(F.col(size) > 0, F.exp(shrunk))
 
-    rated = calibrating.select("lang", perplexity(F.col("lang"), "_log_p", "_bytes").alias("p"))
-    limits = {r["lang"]: r["q"] * slack for r in rated.groupBy("lang").agg(F.percentile("p", quantile).alias("q"), F.count("*").alias("n")).where(F.col("n") >= ENOUGH).collect()}
-    whole = rated.agg(F.percentile("p", quantile).alias("q")).first()["q"]
-    whole = None if whole is None else whole * slack
+    rated = judged.select("lang", "_good", perplexity(F.col("lang"), "_log_p", "_bytes").alias("p"), "r")
+    highest, whole = limits(rated, "p")
+    if whole is None:  # too few labelled otherwise to choose by
+        q = rated.where("_good").groupBy("lang").agg(F.percentile("p", quantile).alias("q"), F.count("*").alias("n"))
+        highest = {r["lang"]: r["q"] for r in q.where(F.col("n") >= ENOUGH).collect()}
+        whole = rated.where("_good").agg(F.percentile("p", quantile).alias("q")).first()["q"]
+    most, most_whole = limits(rated, "r")
 
     names = docs.columns
     text = docs.withColumn("text", F.col("text").cast("string"))
@@ -256,8 +283,9 @@ def scores(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     log_p, size = scored.columns[-2:]
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     p, t, a = (fresh(names, x) for x in ("perplexity", "threshold", "accepted"))
-    out = scored.withColumn(p, perplexity(lang, log_p, size)).withColumn(t, by_language(lang, limits, whole))
-    return out.withColumn(a, F.when(F.col(size) == 0, F.lit(False)).otherwise(F.col(t).isNull() | (F.col(p) <= F.col(t)))).select(*names, p, t, a)
+    out = scored.withColumn(p, perplexity(lang, log_p, size)).withColumn(t, by_language(lang, highest, whole))
+    within = F.lit(True) if most_whole is None else repeats("text") <= by_language(lang, most, most_whole)
+    return out.withColumn(a, F.when(F.col(size) == 0, F.lit(False)).otherwise((F.col(t).isNull() | (F.col(p) <= F.col(t))) & within)).select(*names, p, t, a)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

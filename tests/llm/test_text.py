@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from codexa.llm import decontaminate as dc
 from codexa.llm import packing, quality_lm, token_prefix
@@ -111,6 +112,17 @@ def test_quality_separates_and_keeps_awkward_rows(spark):
     assert quality_lm.scores(none_of(spark), labels).count() == 0 and quality_lm.accepted(awkward(spark), labels.limit(0)).count() == 10
 
 
+def test_quality_rejects_held_out_labelled_rows(spark):
+    """A fifth of the labels is kept from the classifier; toxic documents in good prose and repeated words must go, clean ones stay."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(5)) == 1
+    out = quality_lm.scores(docs, labels.where(~held)).where(F.octet_length("text") > 0).join(labels.where(held), "doc_id")
+    gone = lambda rows: rows.agg(F.avg((~F.col("accepted")).cast("int"))).first()[0]
+    assert gone(out.where("lang = 'en' and quality = 1 and toxic = 1")) > 0.6
+    assert gone(out.where("quality = 0 and toxic = 0")) > 0.99
+    assert gone(out.where("quality = 1 and toxic = 0")) < 0.04
+
+
 def test_every_prefix_as_encoded():
     c = token_prefix.counter(token_prefix.VOCABULARY)
     r = random.Random(4)
