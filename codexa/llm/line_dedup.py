@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of `least` UTF-8 bytes or more take part, across and within documents. Equal lines are one class. Each class's line is split into `edits` + 1 segments, posted under (length, segment number, segment); each line also probes the segments of lines up to `edits` bytes shorter at the start positions that the multi-match-aware windows allow, since two lines within `edits` edits agree in at least one segment there. Lines that meet are verified by banded bit-parallel edit distance over bytes, many pairs at once. Equal lines and lines within `edits` edits, directly or through others, form a group; of its occurrences the one with the least (doc_id, line number) is kept.
+Lines of `shortest` UTF-8 bytes or more that are not blank take part, across and within documents, and all of `least` bytes or more. Equal lines are one class. Only classes of `least` bytes or more are joined by edits: each one's line is split into `edits` + 1 segments, posted under (length, segment number, segment); each line also probes the segments of lines up to `edits` bytes shorter at the start positions that the multi-match-aware windows allow, since two lines within `edits` edits agree in at least one segment there. Lines that meet are verified by banded bit-parallel edit distance over bytes, many pairs at once. Equal lines and lines within `edits` edits, directly or through others, form a group; of its occurrences the one with the least (doc_id, line number) is kept.
 
-Defined cases. Null or empty text: no line of length, left as it is. Null doc_id: can't be named, so its lines neither count nor go. Rows with the same doc_id are one document: their line k is one occurrence. A document of which nothing but white space is left goes as a whole. An empty table gives an empty result. Texts may have any length; lines are numbered from 0 and end at line feeds only.
+Defined cases. Null or empty text: no line, left as it is. Blank lines (spaces, tabs, form feeds, carriage returns) below `least` bytes: left. Null doc_id: can't be named, so its lines neither count nor go. Rows with the same doc_id are one document: their line k is one occurrence. A document of which nothing but white space is left goes as a whole. An empty table gives an empty result. Texts may have any length; lines are numbered from 0 and end at line feeds only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codexa.llm._base import _BYTE, U, buffers, fresh, grouped, mix, pieces, powers, prepare, stored
 
 LEAST, EDITS = 40, 2
+SHORTEST = 1
 WANTED_ROWS = 4_000_000
 
 
@@ -74,20 +75,25 @@ def keys(h: _Hashes, start: np.ndarray, end: np.ndarray, edits: int, least: int)
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def _each(batches: Iterator[pa.RecordBatch], least: int):
+def _each(batches: Iterator[pa.RecordBatch], least: int, shortest: int | None = None):
+    """Lines of `least` bytes or more, and from `shortest` on those that are not blank."""
     for batch in batches:
         ids, (data, offsets) = batch.column(0).to_numpy(zero_copy_only=False), buffers(batch.column(1))
         for i, j in pieces(offsets, 1 << 21):
             part = data[offsets[i] : offsets[j]]
             row, number, start, end = lines(part, offsets[i : j + 1] - offsets[i])
-            own = np.flatnonzero(end - start >= least)
+            taken = end - start >= least
+            if shortest is not None and shortest < least:
+                inked = np.concatenate([[0], np.cumsum(~np.isin(part, (9, 12, 13, 32)))])
+                taken |= (end - start >= shortest) & (inked[end] > inked[start])
+            own = np.flatnonzero(taken)
             if len(own):
                 yield part, ids[i + row[own]].astype(np.int64), number[own], start[own], end[own], _Hashes(part)
 
 
-def _occurrences(least: int):
+def _occurrences(least: int, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, number, start, end, h in _each(batches, least):
+        for _, ids, number, start, end, h in _each(batches, least, shortest):
             yield pa.record_batch([pa.array(ids), pa.array(number.astype(np.int32)), pa.array(h.of(start, end).view(np.int64))], names=["doc_id", "line_no", "line"])
 
     return run
@@ -229,11 +235,11 @@ def near_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, wanted_r
     return both.mapInArrow(_verify(edits), "line_a long, line_b long, edits int")
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, wanted_rows: int = WANTED_ROWS) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, wanted_rows: int = WANTED_ROWS, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that repeats, exactly or nearly, one that is kept."""
     prepare(docs.sparkSession)
     named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occ = stored(named.mapInArrow(_occurrences(least), "doc_id long, line_no int, line long"), "lines")
+    occ = stored(named.mapInArrow(_occurrences(least, shortest), "doc_id long, line_no int, line long"), "lines")
     groups = grouped(near_lines(named, least, edits, wanted_rows).select("line_a", "line_b"), "line_a", "line_b")
     first = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = first.join(groups, F.col("line") == F.col("node"), "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "line"))
@@ -255,6 +261,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST, edits: int = EDITS) ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL, which has only lines of LEAST bytes or more; `query_all_lengths` has the others too, and so has the pipeline."""
+    return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), shortest=LEAST)
+
+
+def query_all_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -275,3 +286,6 @@ SELECT DISTINCT occ.doc_id, occ.line_no, coalesce(root.root, first.f).d AS kept_
 FROM occ JOIN first USING (line) LEFT JOIN root ON root.spot = first.f
 WHERE struct_pack(d := occ.doc_id, l := occ.line_no) <> coalesce(root.root, first.f)
 """
+
+#: The same with every line that is not blank; only those of LEAST bytes or more are joined by edits.
+SQL_ALL_LENGTHS = SQL.replace(f"WHERE strlen(parts[k]) >= {LEAST})", f"WHERE strlen(parts[k]) >= {LEAST} OR regexp_matches(parts[k], '[^ \\t\\f\\r]'))").replace("AND a.line <> b.line\n", f"AND a.line <> b.line AND a.n >= {LEAST}\n")

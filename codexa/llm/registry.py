@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.query,
     "op5_pii": pii.query,
     "op6_line_dedup": line_dedup.query,
+    "op6_line_dedup_all_lengths": line_dedup.query_all_lengths,
     "op7_media_audio_features": audio.query,
     "op8_best_fit_packing": packing.query,
     "op9_quality_classifier": quality_lm.query,
@@ -20,4 +21,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": url_lists.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op6_line_dedup_all_lengths": line_dedup.SQL_ALL_LENGTHS,
 }

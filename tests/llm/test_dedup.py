@@ -93,3 +93,9 @@ def test_line_dedup_awkward_rows(spark):
     assert 4 not in by and len(by[3]) == 2 and len(by[None]) == 2
     assert by[9][0]["text"] == prose(6) and by[9][0]["n_chars"] == len(prose(6))
     assert line_dedup.repeated_lines(none_of(spark)).count() == 0 and line_dedup.without_repeats(none_of(spark)).count() == 0
+
+
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "And so.\n\nx\nAnd so."), (2, "  \n\nAnd so.\nAnd so!"), (3, "x\n \n  ")], "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.repeated_lines(docs).collect()} == {(1, 3, 1, 0), (2, 2, 1, 0), (3, 0, 1, 2)}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(docs).collect()} == {1: "And so.\n\nx", 2: "  \n\nAnd so!"}
