@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.schema import default_of
@@ -83,6 +83,16 @@ def topk(nodes: DataFrame, query: Sequence[float], limit: int | None = None, whe
     return scored.orderBy(F.desc("score"), "id").limit(limit or LIMIT)
 
 
+def topk_each(nodes: DataFrame, queries: DataFrame, limit: int | None = None, where: Column | None = None) -> DataFrame:
+    """For every row (query_id, query) of queries the nodes nearest to its vector by cosine, exactly, as (query_id, id, score): score first, then id. Every pair of one length is compared; pairs without a cosine are left out."""
+    unit = lambda df, c: df.withColumn("_l", F.sqrt(dot(F.col(c), F.col(c)))).where("_l > 0")
+    q = unit(queries.select("query_id", "query"), "query").withColumnRenamed("_l", "_q")
+    n = unit((nodes.where(where) if where is not None else nodes).select("id", "embedding"), "embedding")
+    pairs = q.crossJoin(n).where(F.size("query") == F.size("embedding")).select("query_id", "id", (dot(F.col("embedding"), F.col("query")) / (F.col("_l") * F.col("_q"))).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= (limit or LIMIT)).drop("_k")
+
+
 def topk_lsh(nodes: DataFrame, query: Sequence[float], limit: int | None = None, bucket: float = 0.5, tables: int = 8) -> DataFrame:
     """Approximate nearest nodes by random projections of the normalised vectors; scores are exact."""
     q = [float(x) / sum(float(y) ** 2 for y in query) ** 0.5 for x in query]

@@ -53,6 +53,13 @@ def topk_search(spark, sf_dir):
     return search.topk(v, _first_vector(spark, sf_dir), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e) SELECT query_id, vec_id, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
+def topk_each(spark, sf_dir):
+    """Every embedding searches all of them."""
+    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    return search.topk_each(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 25)")
 def topk_filtered_label(spark, sf_dir):
     v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
