@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -61,10 +61,11 @@ def fresh(taken: list[str], name: str) -> str:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets (one more than rows) of a string column; a null counts as empty."""
-    column = pc.fill_null(column, "") if column.null_count else column
-    if pa.types.is_large_string(column.type) or pa.types.is_string(column.type):
-        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    """Bytes (UTF-8 of a string) and offsets (one more than rows) of a string or binary column; a null counts as empty."""
+    column = pc.fill_null(column, pa.scalar("", column.type)) if column.null_count else column
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if wide or pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        kind = np.int64 if wide else np.int32
     else:
         return buffers(column.cast(pa.string()))
     if not len(column):
@@ -152,11 +153,16 @@ def grouped(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     edges = df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = stored(edges, "edges")
+
+    def with_least(e: DataFrame) -> DataFrame:
+        m = e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+        return e.join(m, F.col("u") == F.col("w")).select("u", "v", "m")
+
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        # aggregate and join rather than a window: a node with very many edges is summed up before the shuffle, and the join can be split
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = with_least(large)
         small_star = low.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = stored(small_star, "edges")
         if edges.join(edges.select(F.col("u").alias("w")).distinct(), F.col("v") == F.col("w"), "left_semi").isEmpty():

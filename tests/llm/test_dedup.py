@@ -34,6 +34,41 @@ def test_near_copies_equal_all_pairs(spark):
     assert {tuple(r) for r in near_dedup.near_copies(docs).collect()} == want and want
 
 
+def test_near_copies_with_hot_values_and_long_lists(spark):
+    """A template shared by all, families of near copies and exact ones: hot values, short lists and long ones give the groups of all pairs."""
+    r = random.Random(11)
+    template, rows = prose(40, 60).split(), []
+    for family in range(12):
+        base = template + prose(100 + family, r.choice([15, 40, 90])).split()
+        for _ in range(r.choice([1, 2, 3, 12])):
+            words = list(base)
+            for _ in range(r.randint(0, 12)):
+                words[r.randrange(len(words))] = r.choice(["zza", "zzb", "zzc"])
+            rows += [" ".join(words)] * r.choice([1, 1, 3])
+    rows *= 2
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    t = docs.orderBy("doc_id").toArrow()
+    taken, sig = near_dedup.signatures(*buffers(t.column(1).combine_chunks()))
+    edges = [(a, b) for a in range(len(taken)) for b in np.flatnonzero((sig == sig[a]).sum(axis=1) >= near_dedup.MATCHES) if a < b]
+    want = roots(len(rows), edges)
+    signed = near_dedup.signed(docs)
+    for hot in (1, 1000):
+        assert near_dedup.hot_tokens(signed, hot).isEmpty() == (hot == 1)
+        found = grouped(near_dedup.near_classes(signed, hot=hot), "class_a", "class_b")
+        root = {x["node"]: x["root"] for x in found.collect()}
+        least = {}
+        for x in sorted(signed.collect(), key=lambda x: x["doc_id"]):
+            least.setdefault(root.get(x["same"], x["same"]), x["doc_id"])
+        assert [least[root.get(x["same"], x["same"])] for x in sorted(signed.collect(), key=lambda x: x["doc_id"])] == want
+
+
+def test_a_repeated_id_with_other_text_loses_nothing(spark):
+    a, b = prose(50), prose(51)
+    docs = spark.createDataFrame([(3, a), (4, a), (3, b), (1, b)], "doc_id long, text string")
+    assert {tuple(r) for r in near_dedup.near_copies(docs).collect()} == {(4, 3), (3, 1)}
+    assert sorted(map(tuple, near_dedup.deduplicate(docs).collect())) == [(1, b), (3, a)]
+
+
 def test_near_dedup_awkward_rows(spark):
     got = [tuple(r) for r in near_dedup.near_copies(awkward(spark)).collect()]
     assert (4, 3) in got and {a for a, _ in got} <= {4, 9}
