@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines of `shortest` UTF-8 bytes or more that are not blank take part, across and within documents, and all of `least` bytes or more. Equal lines are one class. Only classes of `least` bytes or more are joined by edits: each one's line is split into `edits` + 1 segments, posted under (length, segment number, segment); each line also probes the segments of lines up to `edits` bytes shorter at the start positions that the multi-match-aware windows allow, since two lines within `edits` edits agree in at least one segment there. Lines that meet are verified by banded bit-parallel edit distance over bytes, many pairs at once. Equal lines and lines within `edits` edits, directly or through others, form a group; of its occurrences the one with the least (doc_id, line number) is kept.
+Lines of `shortest` UTF-8 bytes or more that are not blank take part, across and within documents, and all of `least` bytes or more. Equal lines are one class. Only classes of `least` bytes or more are joined by edits: each one's line is split into `edits` + 1 segments, posted under (length, segment number, segment); each line also probes the segments of lines up to `edits` bytes shorter at the start positions that the multi-match-aware windows allow, since two lines within `edits` edits agree in at least one segment there. Lines that meet are verified by banded bit-parallel edit distance over bytes, many pairs at once (above LONG bytes, by diagonals). Equal lines and lines within `edits` edits, directly or through others, form a group; of its occurrences the one with the least (doc_id, line number) is kept.
 
-Defined cases. Null or empty text: no line, left as it is. Blank lines (spaces, tabs, form feeds, carriage returns) below `least` bytes: left. Null doc_id: can't be named, so its lines neither count nor go. Rows with the same doc_id are one document: their line k is one occurrence. A document of which nothing but white space is left goes as a whole. An empty table gives an empty result. Texts may have any length; lines are numbered from 0 and end at line feeds only.
+Defined cases. Null or empty text: no line, left as it is. Blank lines (spaces, tabs, form feeds, carriage returns) below `least` bytes: left. Null doc_id: can't be named, so its lines neither count nor go. doc_id is an integer. Rows with the same doc_id are one document: their line k is one occurrence, but a row loses only lines of its own text. A document of which nothing but white space is left goes as a whole. An empty table gives an empty result. Texts may have any length; lines are numbered from 0 and end at line feeds only.
 """
 
 from __future__ import annotations
@@ -82,26 +82,27 @@ def _each(batches: Iterator[pa.RecordBatch], least: int, shortest: int | None =
         for i, j in pieces(offsets, 1 << 21):
             part = data[offsets[i] : offsets[j]]
             row, number, start, end = lines(part, offsets[i : j + 1] - offsets[i])
+            texts = batch.column(2).to_numpy()[i + row] if batch.num_columns > 2 else row
             taken = end - start >= least
             if shortest is not None and shortest < least:
                 inked = np.concatenate([[0], np.cumsum(~np.isin(part, (9, 12, 13, 32)))])
                 taken |= (end - start >= shortest) & (inked[end] > inked[start])
             own = np.flatnonzero(taken)
             if len(own):
-                yield part, ids[i + row[own]].astype(np.int64), number[own], start[own], end[own], _Hashes(part)
+                yield part, ids[i + row[own]].astype(np.int64), texts[own], number[own], start[own], end[own], _Hashes(part)
 
 
 def _occurrences(least: int, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, number, start, end, h in _each(batches, least, shortest):
-            yield pa.record_batch([pa.array(ids), pa.array(number.astype(np.int32)), pa.array(h.of(start, end).view(np.int64))], names=["doc_id", "line_no", "line"])
+        for _, ids, texts, number, start, end, h in _each(batches, least, shortest):
+            yield pa.record_batch([pa.array(ids), pa.array(texts), pa.array(number.astype(np.int32)), pa.array(h.of(start, end).view(np.int64))], names=["doc_id", "text_hash", "line_no", "line"])
 
     return run
 
 
 def _keys(edits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, start, end, h in _each(batches, least):
+        for _, _, _, _, start, end, h in _each(batches, least):
             line, once = np.unique(h.of(start, end), return_index=True)
             which, key, kind = keys(h, start[once], end[once], edits, least)
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(line[which].view(np.int64)), pa.array(kind)], names=["key", "line", "kind"])
@@ -111,7 +112,7 @@ def _keys(edits: int, least: int):
 
 def _texts(least: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, _, _, start, end, h in _each(batches, least):
+        for data, _, _, _, start, end, h in _each(batches, least):
             line, once = np.unique(h.of(start, end).view(np.int64), return_index=True)
             if wanted is not None:
                 w = wanted.value
@@ -126,42 +127,79 @@ def _texts(least: int, wanted):
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, line) -> pairs of different lines of which one is posted and the other probes."""
 
-    def pairs(key: np.ndarray, line: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
-        at = np.flatnonzero(new)
+    def pairs(key: np.ndarray, line: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["line_a", "line_b"])
+
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])]))
         kind = np.bitwise_or.reduceat(kind, at)
         key, line = key[at], line[at]
         bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(key)]])
         size = np.diff(bounds)
-        a, b = [], []
         two = bounds[:-1][size == 2]
-        ok = ((kind[two] | kind[two + 1]) & 1 > 0) & ((kind[two] & 1 > 0) & (kind[two + 1] & 2 > 0) | (kind[two] & 2 > 0) & (kind[two + 1] & 1 > 0))
-        a.append(line[two[ok]])
-        b.append(line[two[ok] + 1])
+        ok = (kind[two] & 1 > 0) & (kind[two + 1] & 2 > 0) | (kind[two] & 2 > 0) & (kind[two + 1] & 1 > 0)
+        held, many = [(line[two[ok]], line[two[ok] + 1])], 0
         for k in np.flatnonzero(size > 2):
             s = slice(bounds[k], bounds[k + 1])
             post, probe = line[s][kind[s] & 1 > 0], line[s][kind[s] & 2 > 0]
-            for step in range(0, len(post), 1024):
-                x, y = np.repeat(post[step : step + 1024], len(probe)), np.tile(probe, len(post[step : step + 1024]))
-                a.append(x[x != y])
-                b.append(y[x != y])
-        return np.concatenate(a), np.concatenate(b)
-
-    rest: tuple | None = None
+            step = max(1, 1_000_000 // max(1, len(probe)))  # a long list leaves in blocks
+            for lo in range(0, len(post), step):
+                x, y = np.repeat(post[lo : lo + step], len(probe)), np.tile(probe, len(post[lo : lo + step]))
+                held.append((x[x != y], y[x != y]))
+                many += len(x)
+                if many > 1_000_000:
+                    yield batch(*(np.concatenate(z) for z in zip(*held, strict=True)))
+                    held, many = [], 0
+        if held:
+            yield batch(*(np.concatenate(z) for z in zip(*held, strict=True)))
+
+    rest: list[tuple] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         now = tuple(batch.column(k).to_numpy() for k in range(3))
-        if rest is not None:
-            now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
         cut = int(np.searchsorted(now[0], now[0][-1]))
-        rest = tuple(x[cut:] for x in now)
-        if cut:
-            a, b = pairs(*(x[:cut] for x in now))
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["line_a", "line_b"])
-    if rest is not None:
-        a, b = pairs(*rest)
-        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["line_a", "line_b"])
+        if cut or rest and rest[-1][0][0] != now[0][0]:
+            yield from pairs(*(np.concatenate(x) for x in zip(*rest, tuple(x[:cut] for x in now), strict=True)))
+            rest = []
+        rest.append(tuple(x[cut:] for x in now))
+    if rest:
+        yield from pairs(*(np.concatenate(x) for x in zip(*rest, strict=True)))
+
+
+LONG = 4096
+
+
+def diagonal_distance(a: bytes, b: bytes, most: int) -> int:
+    """The edit distance of two long strings if it is `most` or less, else most + 1: the furthest row that each number of edits reaches on each diagonal."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n, m = len(x), len(y)
+    if abs(n - m) > most:
+        return most + 1
+
+    def slide(i: int, j: int) -> int:
+        """How far both are equal from i and j on."""
+        step, from_ = 256, i
+        while i < n and j < m:
+            w = min(step, n - i, m - j)
+            differ = np.flatnonzero(x[i : i + w] != y[j : j + w])
+            if len(differ):
+                return i + int(differ[0]) - from_
+            i, j, step = i + w, j + w, min(step * 2, 1 << 20)
+        return i - from_
+
+    reach = {0: slide(0, 0)}  # by diagonal (row of b less row of a): the row of a
+    for e in range(most + 1):
+        if reach.get(m - n, -1) >= n:
+            return e
+        new = {}
+        for d in range(-e - 1, e + 2):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i >= max(0, -d):
+                new[d] = i + slide(i, i + d)
+        reach = new
+    return most + 1
 
 
 def edit_distances(patterns: list[bytes], texts: list[bytes], most: int) -> np.ndarray:
@@ -169,6 +207,10 @@ def edit_distances(patterns: list[bytes], texts: list[bytes], most: int) -> np.n
     out = np.full(len(patterns), most + 1, np.int64)
     m, n = np.array([len(x) for x in patterns], np.int64), np.array([len(x) for x in texts], np.int64)
     todo = np.flatnonzero(np.abs(m - n) <= most)
+    long = todo[n[todo] > LONG]
+    for k in long:  # a column a byte would be slow here, and as wide as the longest
+        out[k] = diagonal_distance(patterns[k], texts[k], most)
+    todo = todo[n[todo] <= LONG]
     todo = todo[np.argsort(n[todo], kind="stable")]
     for lo in range(0, len(todo), 2048):
         own = todo[lo : lo + 2048]
@@ -238,21 +280,30 @@ def near_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, wanted_r
 def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, wanted_rows: int = WANTED_ROWS, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that repeats, exactly or nearly, one that is kept."""
     prepare(docs.sparkSession)
-    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occ = stored(named.mapInArrow(_occurrences(least, shortest), "doc_id long, line_no int, line long"), "lines")
+    return _repeated(docs, least, edits, wanted_rows, shortest).select("doc_id", "line_no", "kept_doc_id", "kept_line_no").distinct()
+
+
+def _repeated(docs: DataFrame, least: int, edits: int, wanted_rows: int = WANTED_ROWS, shortest: int = SHORTEST) -> DataFrame:
+    """repeated_lines with text_hash, which names the row of a doc_id that has several."""
+    text = F.col("text").cast("string")
+    named = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    hashed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    occ = stored(hashed.mapInArrow(_occurrences(least, shortest), "doc_id long, text_hash long, line_no int, line long"), "lines")
     groups = grouped(near_lines(named, least, edits, wanted_rows).select("line_a", "line_b"), "line_a", "line_b")
     first = occ.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = first.join(groups, F.col("line") == F.col("node"), "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "line"))
     kept = classes.groupBy("root").agg(F.min("first").alias("kept")).withColumnRenamed("root", "kept_root")
     marks = classes.join(kept, F.col("root") == F.col("kept_root")).select(F.col("line").alias("class"), "kept")
-    return occ.join(marks, F.col("line") == F.col("class")).where(F.struct("doc_id", "line_no") != F.col("kept")).select("doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
+    found = occ.join(marks, F.col("line") == F.col("class")).where(F.struct("doc_id", "line_no") != F.col("kept"))
+    return found.select("doc_id", "text_hash", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
     """The documents without their repeated lines; n_chars, where there is one, follows the text."""
-    who, which = fresh(docs.columns, "gone_doc"), fresh(docs.columns, "gone_lines")
-    gone = repeated_lines(docs, least, edits).groupBy(F.col("doc_id").alias(who)).agg(F.collect_set("line_no").alias(which))
-    joined = docs.join(gone, docs["doc_id"] == F.col(who), "left")
+    prepare(docs.sparkSession)
+    who, row, which = fresh(docs.columns, "gone_doc"), fresh(docs.columns, "gone_text"), fresh(docs.columns, "gone_lines")
+    gone = _repeated(docs, least, edits).groupBy(F.col("doc_id").alias(who), F.col("text_hash").alias(row)).agg(F.collect_set("line_no").alias(which))
+    joined = docs.join(gone, (docs["doc_id"] == F.col(who)) & (F.xxhash64(docs["text"].cast("string")) == F.col(row)), "left")
     left = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda _, i: ~F.array_contains(F.col(which), i)), "\n")
     out = joined.withColumn("text", F.when(F.col(which).isNull(), F.col("text")).otherwise(left)).where(F.col(which).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:

@@ -115,6 +115,32 @@ def test_banded_distance(most):
         assert (d == true) if true <= most else d > most
 
 
+def test_distance_of_long_lines():
+    r = random.Random(4)
+    for _ in range(200):
+        x = bytes(r.choice(b"ab") for _ in range(r.randint(4, 40)))
+        y = bytearray(x)
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(y) + 1)
+            y[k : k + r.randint(0, 1)] = bytes(r.choice(b"ab") for _ in range(r.randint(0, 1)))
+        for most in (1, 2, 4):
+            assert line_dedup.diagonal_distance(x, bytes(y), most) == min(levenshtein(x, y), most + 1)
+    long = b"abc" * 400_000
+    assert list(line_dedup.edit_distances([long, long], [long[:1000] + b"x" + long[1000:-1], long[5:] + b"zzzzz"], 2)) == [2, 3]
+
+
+def test_a_repeated_id_keeps_its_other_lines(spark):
+    a, b = prose(60), prose(61)
+    docs = spark.createDataFrame([(1, a), (3, a), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.without_repeats(docs).collect())) == [(1, a), (3, b)]
+
+
+def test_a_line_of_a_megabyte(spark):
+    long = "x1 " * 350_000
+    docs = spark.createDataFrame([(1, long), (2, long + "y"), (3, "other " * 20)], "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.repeated_lines(docs).collect()} == {(2, 0, 1, 0)}
+
+
 def test_line_dedup_awkward_rows(spark):
     got = {tuple(r) for r in line_dedup.repeated_lines(awkward(spark)).collect()}
     assert got == {(4, 0, 3, 0), (9, 0, 8, 0)}
