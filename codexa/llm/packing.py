@@ -2,9 +2,9 @@
 
 A document of more than `capacity` units is cut into full sequences and a rest. Each piece goes where the sum, over the gaps, of the squared number of open bins with that gap becomes smallest: into an open bin that has room, or a new one. Of equal choices an open bin comes before a new one, the smallest gap first, and among bins of one gap the one that got it first. Full bins are closed. The default unit is the UTF-8 byte (a byte-level model's token); any column of counts may be given instead.
 
-The rule is sequential, so documents are spread by a hash of doc_id over as many shards as `shard_rows` documents each make, and each shard is packed on its own in the order of (doc_id, size); a shard's bins are numbered from shard * 2 ** 32. The result depends on the rows alone, not on their order or partitions.
+The rule is sequential, so documents are spread by a hash of (doc_id, size, text) over as many shards as `shard_rows` documents each make, and each shard is packed on its own in the order of (doc_id, size); a shard's bins are numbered from shard * 2 ** 32. The result depends on the rows alone, not on their order or partitions.
 
-Defined cases. Null or empty text (or a count that is null, 0 or less): takes no room, no piece. Null doc_id: packed like any, before the others. Repeated rows are packed each. Other columns are ignored. An empty table gives an empty result.
+Defined cases. Null or empty text (or a count that is null, 0 or less): takes no room, no piece. doc_id is an integer. Null doc_id: packed like any, before the others of its shard. Repeated rows are packed each. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,8 +75,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     prepare(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_rows))
     units = F.octet_length(F.col("text").cast("string")) if size is None else F.col(size)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), units.cast("long").alias("size")).where("size > 0")
-    return sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(capacity), _PACKED)
+    salt = F.xxhash64(F.col("text").cast("string")) if size is None else F.lit(0)  # so that rows without doc_id don't all meet
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), units.cast("long").alias("size"), F.pmod(F.xxhash64("doc_id", units.cast("long"), salt), F.lit(shards)).alias("shard")).where("size > 0")
+    return sized.groupBy("shard").applyInArrow(_shard(capacity), _PACKED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
