@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The corpus is cut into passages of BLOCK words. Their TF-IDF matrix A (terms hashed to TERMS columns) is factorised by a randomised SVD: every task adds up its rows' share of A'A times a random TERMS x RANK matrix, the shares are summed by term in a shuffle, and the small factorisation of the sketch (Nystrom's) gives the right singular vectors and values. A passage's latent vector is its row times those vectors, over the values. Benchmark items are cut into parts of at most PART words, each a query; every window of two adjoining blocks (64 words, a step of 32) is compared with every part by cosine, the bar being half of what a window that holds the part word for word would reach. A candidate of which more distinct words are missing around the window than a paraphrase may lack is dropped by bitmaps. The others are verified on words: the longest common subsequence of the part and the window with half a window around it. A share of SURE of the part's words in order is a leak; a share from LIKELY up is a paraphrase, and a leak if the answer, the part's last quarter, is there too (a share of ANSWER of its words in order) and the words found are not only common ones (they have a share of WEIGHT of the part's inverse document frequencies).
+The corpus is cut into passages of BLOCK words. Their TF-IDF matrix A (terms hashed to TERMS columns) is factorised by a randomised SVD: every task adds up its rows' share of A'A times a random TERMS x RANK matrix, the shares are summed by term in a shuffle, and the small factorisation of the sketch (Nystrom's) gives the right singular vectors and values. A passage's latent vector is its row times those vectors, over the values. Benchmark items are cut into parts of at most PART words, each a query; every window of two adjoining blocks (64 words, a step of 32) is compared with every part by cosine, the bar being half of what a window that holds the part word for word would reach. A candidate of which more distinct words are missing around the window than a paraphrase may lack is dropped by bitmaps. The others are verified on words: the longest common subsequence of the part and the window with half a window around it. A share of SURE of the part's words in order is a leak; a share from LIKELY up is a paraphrase, and a leak if the answer, taken to be the last quarter of the part (the tables have no column of answers), is there too (a share of ANSWER of its words in order) and the words found are not only common ones (they have a share of WEIGHT of the part's inverse document frequencies).
 
-Defined cases. Null or empty text, or text without words: no passage, so never a leak. Null doc_id or item_id, or item without words: ignored. Rows with the same doc_id are one document, items with the same item_id one item: the best match counts. An empty benchmark or corpus gives an empty result. Whole texts are searched, whatever their length.
+Defined cases. Null or empty text, or text without words: no passage, so never a leak. doc_id and item_id are integers. Null doc_id or item_id, or item without words: ignored. Rows with the same doc_id are one document, items with the same item_id one item: the best match counts. An empty benchmark or corpus gives an empty result. Whole texts are searched, whatever their length.
 """
 
 from __future__ import annotations
@@ -188,8 +188,13 @@ def _search(shared):
             k = np.flatnonzero(follows | ~before)
             w = w[k]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-            cosine = w @ queries
-            win, part = np.nonzero(cosine >= bars)
+            near = []
+            for lo in range(0, len(w), 2048):  # windows by parts a block at a time, however long the text and the benchmark
+                for at in range(0, queries.shape[1], 4096):
+                    cosine = w[lo : lo + 2048] @ queries[:, at : at + 4096]
+                    x, y = np.nonzero(cosine >= bars[at : at + 4096])
+                    near.append((lo + x, at + y, cosine[x, y]))
+            win, part, cosine = (np.concatenate(x) for x in zip(*near, strict=True))
             if not len(win):
                 continue
             # the window, and a block on either side of it where the row has one
@@ -200,12 +205,12 @@ def _search(shared):
             around = bits[left] | bits[k] | bits[np.minimum(k + 1, right)] | bits[right]
             lacks = np.concatenate([np.bitwise_count(part_bits[part[a : a + 65536]] & ~around[win[a : a + 65536]]).sum(axis=1, dtype=np.int64) for a in range(0, len(win), 65536)])
             ok = lacks <= lacking[part]
-            win, part = win[ok], part[ok]
+            win, part, cosine = win[ok], part[ok], cosine[ok]
             if not len(win):
                 continue
             lo, hi = first[left], end[right]
             o = np.argsort(part, kind="stable")
-            win, part = win[o], part[o]
+            win, part, cosine = win[o], part[o], cosine[o]
             bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), [len(part)]])
             found: list[tuple] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -221,7 +226,7 @@ def _search(shared):
                     weight = np.array([idf[part[a]][np.isin(p, text[g])].sum() for g in good]) / max(idf[part[a]].sum(), 1e-9)
                     leak = (share[good] >= SURE) | (answer >= ANSWER) & (weight >= WEIGHT)
                     for g, ans in zip(good[leak], answer[leak], strict=True):
-                        found.append((int(row[k[ws[g]]]) + i, int(items[part[a]]), float(share[g]), float(ans), float(cosine[ws[g], part[a]])))
+                        found.append((int(row[k[ws[g]]]) + i, int(items[part[a]]), float(share[g]), float(ans), float(cosine[a + g])))
             if found:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 r, item, share, answer, cos = zip(*found, strict=True)
