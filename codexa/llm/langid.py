@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained here, in numpy, by backpropagation through time, on pieces of PIECE characters from at most `samples` labelled documents of each language (a bound on the sample, chosen by a hash of doc_id). Every text is cut into segments of SPAN bytes; both directions run over each, every byte gets a probability of each language, and a document's probabilities are the means over all its bytes.
+The network is trained here, in numpy, by backpropagation through time, on pieces of PIECE characters from at most `samples` labelled documents of each language (a bound on the sample, chosen by a hash of doc_id). Every text is labelled whole, in stretches of STRETCH bytes that run together: the forward state starts AROUND bytes before a stretch and the backward state AROUND bytes after it (or at the text's ends), so every byte is read in context and the result does not depend on where a stretch is cut but for what lies further away. Every byte gets a probability of each language; the positions' labels are returned as spans, and a document's probabilities are the means over all its bytes.
 
-Defined cases. Null or empty text: language and probabilities null, 0 bytes. Null labels are not learnt from; null doc_id is (its hash is one value). Without any labelled text, every language is null. Equal probabilities: the first language by name. Rows are never merged; other columns are ignored. Texts of any length are labelled whole.
+Defined cases. Null or empty text: language, probabilities and spans null, 0 bytes. No column lang: as with null labels. Null labels are not learnt from; null doc_id is (its hash is one value). Without any labelled text, every language is null. Equal probabilities: the first language by name. Rows are never merged; other columns are ignored. Texts of any length are labelled whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codexa.llm._base import buffers, pieces, prepare
 
 HIDDEN, SPAN, PIECE = 8, 64, 256
+STRETCH, AROUND = 128, 32
 SAMPLES, STEPS, BATCH, RATE = 600, 250, 128, 0.02
 
 
@@ -62,10 +63,11 @@ def run_one(w: dict[str, np.ndarray], d: str, data: np.ndarray, real: np.ndarray
     return out
 
 
-def probabilities(w: dict[str, np.ndarray], data: np.ndarray, real: np.ndarray | None) -> np.ndarray:
-    """Of each language at each byte: SPAN x segments x languages."""
-    s = run_one(w, "f", data, real) @ w["vf"]
-    s += run_one(w, "b", data, real) @ w["vb"]
+def probabilities(w: dict[str, np.ndarray], data: np.ndarray, real: np.ndarray | None, around: int = 0) -> np.ndarray:
+    """Of each language at each byte but the first and last `around` ones, which are context: bytes x segments x languages."""
+    n = len(data)
+    s = run_one(w, "f", data[: n - around], None if real is None else real[: n - around])[around:] @ w["vf"]
+    s += run_one(w, "b", data[around:], None if real is None else real[around:])[: n - 2 * around] @ w["vb"]
     s += w["c"]
     s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
@@ -151,26 +153,61 @@ def train(texts: list[str], labels: np.ndarray, languages: int, steps: int = STE
     return w
 
 
-def pooled(w: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows' mean probabilities over their bytes, and the share of bytes whose own first choice is the row's."""
-    x, real, row = segments(data, offsets)
+def labelled(w: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows' mean probabilities over their bytes, and every byte's first choice."""
+    size = np.diff(offsets)
+    count = -(-size // STRETCH)
+    row = np.repeat(np.arange(len(count)), count)
+    first = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
     langs = len(w["c"])
-    total = np.zeros((len(offsets) - 1, langs))
-    votes = np.zeros((len(offsets) - 1, langs))
-    whole = real[-1]
+    total, best = np.zeros((len(size), langs)), np.zeros(len(data), np.uint8)
+    whole = (first - AROUND >= offsets[:-1][row]) & (first + STRETCH + AROUND <= offsets[1:][row])
+    at = np.arange(-AROUND, STRETCH + AROUND)[:, None]
     for own, mask in ((np.flatnonzero(whole), False), (np.flatnonzero(~whole), True)):
         for lo in range(0, len(own), 2048):
             k = own[lo : lo + 2048]
-            r = real[:, k] if mask else None
-            p = probabilities(w, x[:, k], r)
-            best = p.argmax(axis=2)
+            spot = first[k] + at
+            real = (spot >= offsets[:-1][row[k]]) & (spot < offsets[1:][row[k]]) if mask else None
+            x = data[np.clip(spot, 0, len(data) - 1)] if mask else data[spot]
+            p = probabilities(w, x, real, AROUND)
+            spot, chosen = spot[AROUND:-AROUND], p.argmax(axis=2).astype(np.uint8)
+            if mask:
+                inner = real[AROUND:-AROUND]
+                best[spot[inner]] = chosen[inner]
+            else:
+                best[spot] = chosen
             for c in range(langs):
-                pc, bc = p[:, :, c], best == c
-                total[:, c] += np.bincount(row[k], (pc if r is None else pc * r).sum(axis=0), len(total))
-                votes[:, c] += np.bincount(row[k], (bc if r is None else bc & r).sum(axis=0), len(total))
-    n = np.maximum(np.diff(offsets), 1)[:, None]
-    p = total / n
-    return p, (votes / n)[np.arange(len(p)), p.argmax(axis=1)]
+                total[:, c] += np.bincount(row[k], (p[:, :, c] * inner if mask else p[:, :, c]).sum(axis=0), len(total))
+    return total / np.maximum(size, 1)[:, None], best
+
+
+def pooled(w: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows' mean probabilities over their bytes, and the share of bytes whose own first choice is the row's."""
+    p, best = labelled(w, data, offsets)
+    return p, _agreeing(p, best, offsets)
+
+
+def _agreeing(p: np.ndarray, best: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    size = np.diff(offsets)
+    same = np.concatenate([[0], np.cumsum(best == np.repeat(p.argmax(axis=1), size))])
+    return (same[offsets[1:]] - same[offsets[:-1]]) / np.maximum(size, 1)
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string())])
+
+
+def runs(best: np.ndarray, offsets: np.ndarray, languages: list[str]) -> pa.ListArray:
+    """Each row's labels as spans of bytes [start, end) of one language; null for a row without bytes."""
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    some = offsets[:-1][np.diff(offsets) > 0]
+    new[some] = True
+    start = np.flatnonzero(new)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    end = np.concatenate([start[1:], [len(best)]])
+    names = pa.array(languages, pa.string()).take(pa.array(best[start].astype(np.int32)))
+    spans = pa.StructArray.from_arrays([pa.array((start - offsets[row]).astype(np.int32)), pa.array((end - offsets[row]).astype(np.int32)), names], fields=list(_SPAN))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(start, offsets).astype(np.int32)), spans, mask=pa.array(np.diff(offsets) == 0))
 
 
 def _label(model, languages: list[str]):
@@ -179,22 +216,23 @@ def _label(model, languages: list[str]):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for i, j in pieces(offsets, 1 << 20):
-                p, agree = pooled(w, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                size = np.diff(offsets[i : j + 1])
+                own = offsets[i : j + 1] - offsets[i]
+                p, best = labelled(w, data[offsets[i] : offsets[j]], own)
+                size = np.diff(own)
                 none = size == 0
-                best = p.argmax(axis=1)
-                pairs = pa.array(np.where(none[:, None], np.nan, p).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(languages)), pairs)
-                lists = pa.array([None if no else x for no, x in zip(none, lists.to_pylist(), strict=True)], pa.list_(pa.float64())) if none.any() else lists
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(languages)), pa.array(p.ravel()), mask=pa.array(none))
+                names = pa.array(languages, pa.string()).take(pa.array(p.argmax(axis=1).astype(np.int32), mask=none))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([None if no else languages[b] for b, no in zip(best, none, strict=True)], pa.string()), pa.array(p.max(axis=1), mask=none), lists, pa.array(agree, mask=none), pa.array(size)],
-                    names=["doc_id", "language", "probability", "probabilities", "agreeing", "bytes"])
+                    [batch.column(0).slice(i, j - i), names, pa.array(p.max(axis=1), mask=none), lists, pa.array(_agreeing(p, best, own), mask=none), pa.array(size), runs(best, own, languages)],
+                    names=["doc_id", "language", "probability", "probabilities", "agreeing", "bytes", "spans"])
 
     return run
 
 
 def learn(docs: DataFrame, samples: int = SAMPLES, steps: int = STEPS) -> tuple[dict[str, np.ndarray] | None, list[str]]:
     """Weights and languages, from the column lang; None without labelled text."""
+    if "lang" not in docs.columns:
+        return None, []
     named = docs.where("lang is not null and text is not null and text <> ''").selectExpr("cast(lang as string) as lang", "text", "xxhash64(doc_id) as h")
     counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
     if not counts:
@@ -202,20 +240,20 @@ def learn(docs: DataFrame, samples: int = SAMPLES, steps: int = STEPS) -> tuple[
     languages = sorted(counts)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, samples / n))])
     drawn = named.where(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
-    some = drawn.selectExpr("lang", f"substring(text, 1 + cast(pmod(shiftrightunsigned(h, 20), greatest(1, length(text) - {PIECE})) as int), {PIECE}) as text").limit(2 * samples * len(languages)).toArrow()
-    texts, labels = some.column(1).to_pylist(), np.array([languages.index(x) for x in some.column(0).to_pylist()], np.int64)
+    some = drawn.selectExpr("lang", "h as place", f"substring(text, 1 + cast(pmod(shiftrightunsigned(h, 20), greatest(1, length(text) - {PIECE})) as int), {PIECE}) as text").orderBy("place", "lang", "text").limit(2 * samples * len(languages)).toArrow()
+    texts, labels = some.column("text").to_pylist(), np.array([languages.index(x) for x in some.column("lang").to_pylist()], np.int64)
     order = np.argsort(np.array(texts, object), kind="stable") if texts else np.zeros(0, int)  # the rows' order must not matter
     return train([texts[k] for k in order], labels[order], len(languages), steps), languages
 
 
 def identified(docs: DataFrame, samples: int = SAMPLES, steps: int = STEPS) -> DataFrame:
-    """(doc_id, language, probability, probabilities by language in the order of their names, agreeing: the share of bytes that say the same, bytes) of every row."""
+    """(doc_id, language, probability, probabilities by language in the order of their names, agreeing: the share of bytes that say the same, bytes, spans: the positions' labels) of every row."""
     prepare(docs.sparkSession)
     w, languages = learn(docs, samples, steps)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, language string, probability double, probabilities array<double>, agreeing double, bytes long"
+    schema = f"doc_id {kind}, language string, probability double, probabilities array<double>, agreeing double, bytes long, spans array<struct<start:int,end:int,language:string>>"
     if w is None:
-        return docs.selectExpr("doc_id", "cast(null as string) language", "cast(null as double) probability", "cast(null as array<double>) probabilities", "cast(null as double) agreeing", "cast(coalesce(octet_length(text), 0) as long) bytes")
+        return docs.selectExpr("doc_id", "cast(null as string) language", "cast(null as double) probability", "cast(null as array<double>) probabilities", "cast(null as double) agreeing", "cast(coalesce(octet_length(text), 0) as long) bytes", "cast(null as array<struct<start:int,end:int,language:string>>) spans")
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(w), languages), schema)
 
 
