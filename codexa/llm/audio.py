@@ -1,8 +1,8 @@
 """Media columns: audio features.
 
-A column of 16-bit little-endian mono PCM with its sampling rate is resampled to RATE by a polyphase windowed-sinc filter, framed with overlap (WINDOW samples every HOP), and turned into log-mel energies. They are stored in tensors of the fixed shape FRAMES x MELS (32-bit floats, row-major, the last one filled up with the floor), one a row with its time span and the number of frames that are real; `tensors` gives an Arrow column of fixed_shape_tensor without copying. Speech is segmented by hysteresis: a segment opens at a frame with energy within OPEN dB of the clip's loudest and lasts while frames stay within CLOSE dB; its time spans come with each tensor they touch.
+A column of 16-bit little-endian mono PCM with its sampling rate is resampled to RATE by a polyphase windowed-sinc filter, framed with overlap (WINDOW samples every HOP), and turned into log-mel energies. They are stored in tensors of the fixed shape FRAMES x MELS (32-bit floats, row-major, the last one filled up with the floor), one a row with its time span and the number of frames that are real; `tensors` gives an Arrow column of fixed_shape_tensor without copying, and `saved` stores the table with that type: Spark itself has no such type, so each task writes its rows as a Parquet file by Arrow, which any reader of Arrow gets back as tensors. Speech is segmented by hysteresis: a segment opens at a frame with energy within OPEN dB of the clip's loudest and lasts while frames stay within CLOSE dB; its time spans come with each tensor they touch.
 
-Defined cases. Null or empty PCM, or a null or non-positive rate: one row with no tensor, no span and no frames. An odd last byte is left out. A clip shorter than a window is one frame, filled up with silence. A silent clip has features at the floor and no speech. Rows are never merged: repeated rows are each returned, under whatever key columns are named, nulls included. Other columns are ignored. Clips of any length are covered whole.
+Defined cases. Null or empty PCM, or a null or non-positive rate: one row with no tensor, no span and no frames. An odd last byte is left out. A clip shorter than a window is one frame, filled up with silence. A silent clip has features at the floor and no speech. Rows are never merged: repeated rows are each returned, under whatever key columns are named, nulls included; a result column whose name is a key's gets underscores. Other columns are ignored. Clips of any length are covered whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexa.llm._base import prepare
+from codexa.llm._base import fresh, prepare
 
 RATE, WINDOW, HOP, FFT, MELS, FRAMES = 16_000, 400, 160, 512, 40, 64
 OPEN, CLOSE, SHORTEST = 25.0, 35.0, 3
@@ -130,7 +130,10 @@ def clip(pcm: bytes | None, rate: int | None) -> list[tuple]:
     return out
 
 
-def _featured(keys: int):
+_NAMES = ("chunk", "tensor", "frames", "start_s", "end_s", "speech")
+
+
+def _featured(keys: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
@@ -143,7 +146,7 @@ def _featured(keys: int):
                 cols = list(zip(*rows, strict=True))
                 types = [pa.int32(), pa.binary(), pa.int32(), pa.float64(), pa.float64(), _SPEECH]
                 made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(at)) for k in range(keys)], *made], names=[*part.schema.names[:keys], "chunk", "tensor", "frames", "start_s", "end_s", "speech"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(pa.array(at)) for k in range(keys)], *made], names=names)
 
     return run
 
@@ -151,19 +154,62 @@ def _featured(keys: int):
 def features(clips: DataFrame, keys: list[str], pcm: str = "pcm", rate: str = "rate") -> DataFrame:
     """The key columns and (chunk, tensor, frames, start_s, end_s, speech) of every clip."""
     prepare(clips.sparkSession)
-    schema = T.StructType([*[clips.schema[k] for k in keys], *_FIELDS])
-    return clips.select(*keys, pcm, F.col(rate).cast("int").alias(rate)).mapInArrow(_featured(len(keys)), schema)
+    made: list[str] = []
+    for name in _NAMES:
+        made.append(fresh([*keys, *made], name))
+    schema = T.StructType([*[clips.schema[k] for k in keys], *[T.StructField(n, f.dataType) for n, f in zip(made, _FIELDS, strict=True)]])
+    taken = clips.select(*keys, F.col(pcm).alias(fresh(keys, "_pcm")), F.col(rate).cast("int").alias(fresh(keys, "_rate")))
+    return taken.mapInArrow(_featured(len(keys), [*keys, *made]), schema)
 
 
 def tensors(table: pa.Table) -> pa.FixedShapeTensorArray:
     """The tensor column as Arrow's fixed-shape tensors of FRAMES x MELS, sharing the bytes; rows without a tensor must be filtered out first."""
-    column = table.column("tensor").combine_chunks()
+    return _shaped(table.column("tensor"))
+
+
+def _shaped(column: pa.ChunkedArray) -> pa.FixedShapeTensorArray:
+    column = column.combine_chunks()
     _, at, data = column.buffers()
     first = np.frombuffer(at, np.int32)[column.offset]
     values = pa.Array.from_buffers(pa.float32(), len(column) * FRAMES * MELS, [None, data.slice(int(first))])
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), pa.FixedSizeListArray.from_arrays(values, FRAMES * MELS))
 
 
+def _saving(folder: str, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        system, base = pyarrow.fs.FileSystem.from_uri(folder)
+        context = TaskContext.get()
+        name, part, out, rows = f"part-{context.partitionId():05d}.parquet", f"{base}/_part-{context.taskAttemptId()}", None, 0
+        for batch in batches:
+            held = pa.Table.from_batches([batch])
+            real = held.filter(held.column(at).is_valid())
+            if real.num_rows:
+                table = real.set_column(at, held.schema.names[at], _shaped(real.column(at)))
+                out = out or pq.ParquetWriter(part, table.schema, filesystem=system)
+                out.write_table(table)
+                rows += table.num_rows
+        if out is not None:
+            out.close()
+            system.move(part, f"{base}/{name}")  # a repeated task writes the same file again
+            yield pa.record_batch([pa.array([name]), pa.array([rows])], names=["file", "rows"])
+
+    return run
+
+
+def saved(featured: DataFrame, folder: str, tensor: str = "tensor") -> DataFrame:
+    """Stores the rows that have a tensor below the folder (a URI that all executors share), with the tensors as Arrow's fixed-shape type; (file, rows) of what was written."""
+    import pyarrow.fs
+
+    system, base = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(base, recursive=True)
+    done = featured.mapInArrow(_saving(folder, featured.columns.index(tensor)), "file string, rows long").toArrow()  # a row a task
+    return featured.sparkSession.createDataFrame(done)
+
+
 # The tables hold no sound. The query reads each turn of a conversation aloud: a tone for every byte of text, pauses at sentence and line ends.
 VOICE_RATE = 8000
 _PITCH = np.array([150 + 12 * (b % 128) for b in range(256)]) / VOICE_RATE
