@@ -49,7 +49,7 @@ def inline_split(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, INLINE), stripped), lambda x: x != "")
 
 
-_ABBREVIATIONS = set("в вв г гг гл д др е им млн млрд напр обл п пп пр респ рис руб см ст т табл тыс ул".split()) - {"в", "вв", "гл"}
+_ABBREVIATIONS = {*"тыс млн млрд руб".split(), *"респ обл г гг ул д".split(), *"ст п пп рис табл".split(), *"т е др пр см им напр".split()}
 _BOUND = re.compile(r"""[.!?…]\s+(?=[«"(\[]?[A-ZА-ЯЁ0-9])""")
 
 

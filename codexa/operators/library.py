@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codexa.functions.identity import stripped, version_of_name
 from codexa.operators.search import has_version
 
 
@@ -36,10 +37,51 @@ def list_documents(nodes: DataFrame, version: str | None = None, uploaded_from:
     return out.orderBy("name", "version")
 
 
-def library(nodes: DataFrame) -> DataFrame:
-    """One row for each doc_id: the number of nodes and the first one's name, version and scope."""
-    first = F.struct("order", "id")
-    return nodes.groupBy("doc_id").agg(F.count("*").alias("node_count"), *[F.min_by(c, first).alias(c) for c in ("name", "version", "document_level", "territory_id")], flat_tags().alias("tags")).orderBy("name", "version")
+def library(nodes: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """One row for each doc_id: the number of nodes and the first one's name, version and scope. Where the registry (doc_id and any of these) has a document, its record counts."""
+    first, fields = F.struct("order", "id"), ("name", "version", "document_level", "territory_id")
+    out = nodes.groupBy("doc_id").agg(F.count("*").alias("node_count"), *[F.min_by(c, first).alias(c) for c in fields], flat_tags().alias("tags"))
+    if registry is not None:
+        known = [c for c in fields if c in registry.columns]
+        r = registry.select(F.col("doc_id").alias("_d"), F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in known])
+        out = out.join(r, F.col("doc_id") == F.col("_d"), "left").select(*[F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in known else F.col(c) for c in out.columns])
+    return out.orderBy("name", "version")
+
+
+def lookup(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, doc_id): the documents that have each lookup key of the table (key)."""
+    return nodes.select("doc_id", F.explode("lookup_keys").alias("key")).join(keys.select("key").distinct(), "key", "left_semi").distinct()
+
+
+def prefixed(entries: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """The entries whose key starts with the prefix."""
+    return entries.where(F.col(key).startswith(prefix))
+
+
+def grid(documents: DataFrame, query: str = "", tag: str | None = None, level: str | None = None, territory: int | None = None, pending: bool = False) -> DataFrame:
+    """The listing narrowed as one types: the query anywhere in name, version, tags or territory, whatever the case; a tag, a level, a territory anywhere above, open scopes only."""
+    hay = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("version", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), F.coalesce("territory_name", F.lit(""))))
+    out = documents.where(F.contains(hay, F.lit(query.strip().lower()))) if query.strip() else documents
+    if tag:
+        out = out.where(F.array_contains("tags", tag))
+    if level:
+        out = out.where(F.col("document_level") == level)
+    if territory is not None:
+        out = out.where(F.array_contains("territory_path", territory))
+    return out.where(F.col("tagging_status") == "pending") if pending else out
+
+
+def recent(documents: DataFrame, limit: int = 5) -> DataFrame:
+    """The documents that came last."""
+    return documents.orderBy(F.desc(F.coalesce("uploaded_at", F.lit(""))), "doc_id").limit(limit)
+
+
+def resolved_head(documents: DataFrame) -> DataFrame:
+    """documents (name_override, version_override, and the head pass's hint_name, hint_version) with name, version and asks: what was given wins, then the name's last group of four digits, then the hint; without any the version is `unknown`. asks: whether the head pass is needed for name or version at all."""
+    given = lambda c: F.nullif(stripped(F.col(c)), F.lit(""))
+    own, version = given("name_override"), F.coalesce(given("version_override"), version_of_name(given("name_override")))
+    name = F.coalesce(own, given("hint_name"), F.lit(""))
+    return documents.withColumns({"name": name, "version": F.coalesce(version, version_of_name(name), given("hint_version"), F.lit("unknown")), "asks": own.isNull() | version.isNull()})
 
 
 def assembled(nodes: DataFrame) -> DataFrame:
@@ -82,6 +124,12 @@ def scopes(nodes: DataFrame, shared: Column) -> DataFrame:
     return nodes.where(shared & F.col("territory_id").isNotNull()).groupBy("territory_id").agg(F.min("territory_name").alias("territory_name"), F.min("document_level").alias("document_level"), F.count_distinct("doc_id").alias("documents")).orderBy(F.coalesce("document_level", F.lit("")), F.coalesce("territory_name", F.lit("")))
 
 
+def scopes_summary(nodes: DataFrame, shared: Column) -> DataFrame:
+    """One row: the levels in use, sorted, and the number of documents whose scope is open."""
+    level = F.nullif(F.coalesce("document_level", F.lit("")), F.lit(""))
+    return nodes.where(shared).agg(F.array_sort(F.collect_set(level)).alias("levels"), F.count_distinct(F.when(F.col("tagging_status") == "pending", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("pending_documents"))
+
+
 def pending_heads(nodes: DataFrame, texts: int = 14, attempts: int = 5) -> DataFrame:
     """Documents whose scope is still open: their first texts by order; those tried too often are left out."""
     w = Window.partitionBy("doc_id").orderBy("order", "id")
@@ -110,6 +158,12 @@ def jobs_recent(jobs: DataFrame, limit: int = 20) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(max(1, limit))
 
 
+def abort_orphans(jobs: DataFrame) -> DataFrame:
+    """jobs after a restart: what was queued or processing has failed, since nothing goes on with it."""
+    lost = F.col("status").isin("queued", "processing")
+    return jobs.withColumns({"error": F.when(lost, "interrupted by a restart: upload the document again").otherwise(F.col("error") if "error" in jobs.columns else F.lit(None).cast("string")), "status": F.when(lost, "error").otherwise(F.col("status"))})
+
+
 def job_state(log: DataFrame, ttl_seconds: int = 86_400, now: Column | None = None) -> DataFrame:
     """The last state of each job in its log; those untouched for the time to live are gone."""
     last = log.groupBy("job_id").agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "status")).alias("s"), F.min("ts").alias("created_at")).select("job_id", "s.status", F.col("s.ts").alias("updated_at"), "created_at")

@@ -53,16 +53,17 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def pending(resolved: DataFrame) -> DataFrame:
-    """What waits: (target_key, source_doc_id, source_node_id, raw, target_numbering)."""
-    return resolved.where("pending").select(normalize_designation(F.col("target_name")).alias("target_key"), F.col("doc_id").alias("source_doc_id"), F.col("id").alias("source_node_id"), "raw", normalize_numbering(F.col("target_numbering")).alias("target_numbering"))
+    """What waits: (target_key, source_doc_id, source_node_id, raw, target_numbering, seq). seq is the order in which the links came: the column of that name, or else the order of the rows."""
+    seq = F.col("seq") if "seq" in resolved.columns else F.monotonically_increasing_id()
+    return resolved.where("pending").select(normalize_designation(F.col("target_name")).alias("target_key"), F.col("doc_id").alias("source_doc_id"), F.col("id").alias("source_node_id"), "raw", normalize_numbering(F.col("target_numbering")).alias("target_numbering"), seq.alias("seq"))
 
 
 def backfill(nodes: DataFrame, waiting: DataFrame, name: str, doc_id: str, version: str, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with the links to a document that has arrived filled in, what still waits). Of a node's waiting links with the same text the last one counts; resolved links stay. arrived: (numbering, node_id) of the document."""
+    """(nodes with the links to a document that has arrived filled in, what still waits). Of a node's waiting links with the same text the last one counts, with its number or its lack of one; resolved links stay. arrived: (numbering, node_id) of the document."""
     key = normalize_designation(F.lit(name))
     mine, rest = waiting.where(F.col("target_key") == key), waiting.where(F.col("target_key") != key)
     num = arrived.select(F.col("numbering").alias("_n"), F.col("node_id").alias("_node"))
-    found = mine.join(num, F.col("target_numbering") == F.col("_n"), "left").groupBy("source_node_id", "raw").agg(F.max("_node").alias("node"))
+    found = mine.join(num, F.col("target_numbering") == F.col("_n"), "left").groupBy("source_node_id", "raw").agg(F.max_by("_node", "seq").alias("node"))
     table = found.groupBy(F.col("source_node_id").alias("_src")).agg(F.map_from_entries(F.collect_list(F.struct("raw", F.struct("node").alias("to")))).alias("_to"))
     joined = nodes.join(table, F.col("id") == F.col("_src"), "left")
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.schema import default_of
+from codexa.session import ready
 
 LIMIT, HEIGHT = 10, 6
 
@@ -83,14 +87,78 @@ def topk(nodes: DataFrame, query: Sequence[float], limit: int | None = None, whe
     return scored.orderBy(F.desc("score"), "id").limit(limit or LIMIT)
 
 
+BLOCK = 2048
+
+
+def _best(shared, limit: int):
+    """(id, embedding) -> (query_id, id, score): each query's best of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query, score, id of the best so far
+        kind = None
+        for batch in batches:
+            lists = batch.column(1)
+            fits = np.flatnonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1])
+            if not len(fits):
+                continue
+            batch = batch.take(pa.array(fits))
+            x = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+            kind, own = batch.schema.field(0).type, batch.column(0).to_numpy(zero_copy_only=False)
+            own = own.astype(str) if own.dtype == object else own
+            norm = np.sqrt((x * x).sum(axis=1))
+            some = np.flatnonzero((norm > 0) & np.isfinite(norm))
+            score = np.round((x[some] / norm[some, None]) @ q.T, 12).T  # queries x nodes
+            new = (np.repeat(np.arange(len(q)), len(some)), score.ravel(), np.tile(own[some], len(q)))
+            if held is not None:
+                new = tuple(np.concatenate(z) for z in zip(held, new, strict=True))
+            order = np.lexsort((new[2], -new[1], new[0]))
+            query = new[0][order]
+            place = np.arange(len(order)) - np.searchsorted(query, query)
+            order = order[place < limit]
+            held = tuple(z[order] for z in new)
+        if held is not None:
+            yield pa.record_batch([ids.take(pa.array(held[0])), pa.array(held[2], kind), pa.array(held[1])], names=["query_id", "id", "score"])
+
+    return run
+
+
 def topk_each(nodes: DataFrame, queries: DataFrame, limit: int | None = None, where: Column | None = None) -> DataFrame:
-    """For every row (query_id, query) of queries the nodes nearest to its vector by cosine, exactly, as (query_id, id, score): score first, then id. Every pair of one length is compared; pairs without a cosine are left out."""
-    unit = lambda df, c: df.withColumn("_l", F.sqrt(dot(F.col(c), F.col(c)))).where("_l > 0")
-    q = unit(queries.select("query_id", "query"), "query").withColumnRenamed("_l", "_q")
-    n = unit((nodes.where(where) if where is not None else nodes).select("id", "embedding"), "embedding")
-    pairs = q.crossJoin(n).where(F.size("query") == F.size("embedding")).select("query_id", "id", (dot(F.col("embedding"), F.col("query")) / (F.col("_l") * F.col("_q"))).alias("score"))
+    """For every row (query_id, query) of queries the nodes nearest to its vector by cosine, exactly, as (query_id, id, score): score first, then id. Vectors of another length, or 0, are left out.
+
+    The queries are a stated set: they are read a block of BLOCK at a time, each block is broadcast, and every partition keeps its `limit` best of each query, so that no more than that is shuffled.
+    """
+    spark, most = ready(nodes.sparkSession), limit or LIMIT
+    n = (nodes.where(where) if where is not None else nodes).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {n.schema['id'].dataType.simpleString()}, score double"
+    found = spark.createDataFrame([], schema)
+    rows = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).where("query is not null").toLocalIterator()
+    while block := list(islice(rows, BLOCK)):
+        for size in sorted({len(r["query"]) for r in block}):
+            own = [r for r in block if len(r["query"]) == size and any(r["query"])]
+            if own:
+                q = np.array([r["query"] for r in own])
+                q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
+                found = found.unionAll(n.mapInArrow(_best(spark.sparkContext.broadcast((pa.array([r["query_id"] for r in own]), q)), most), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= (limit or LIMIT)).drop("_k")
+    return found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def points(nodes: DataFrame, ids: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """The nodes of (id), with their vectors. Vectors by name are not supported."""
+    if names:
+        raise ValueError("nodes have one vector without a name")
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def search(nodes: DataFrame, queries: DataFrame, embed: Callable[[Column], Column] | None = None, limit: int | None = None, height: int = 0, where: Column | None = None) -> DataFrame:
+    """The whole of a search: queries (query_id, text) are embedded, or bring their vectors (query_id, query); the filter comes first, then each query's nearest nodes, with the context along the reading order if a height is given; as hits, score first."""
+    asked = queries.select("query_id", embed(F.col("text")).alias("query")) if embed is not None else queries
+    best = topk_each(nodes, asked, limit, where).select("query_id", F.col("id").alias("_id"), "score")
+    found = nodes.join(best, F.col("id") == F.col("_id")).drop("_id")
+    if height:
+        found = context(nodes, found, height)
+    return hits(found, ("query_id",)).orderBy("query_id", F.desc("score"), "id")
 
 
 def topk_lsh(nodes: DataFrame, query: Sequence[float], limit: int | None = None, bucket: float = 0.5, tables: int = 8) -> DataFrame:
@@ -111,7 +179,9 @@ def context(nodes: DataFrame, hits: DataFrame, height: int, by: Sequence[str] =
     """
     h = max(0, min(HEIGHT, height))
     out = hits.withColumns({"_p": F.col("prev_id"), "_n": F.col("next_id"), "_before": F.array().cast("array<string>"), "_after": F.array().cast("array<string>")})
-    links = nodes.select(F.col("id").alias("_id"), F.col("text").alias("_text"), F.col("prev_id").alias("_pp"), F.col("next_id").alias("_nn"))
+    # the chain stays within a document, so only the hits' documents are walked
+    own = nodes.join(hits.select(*by).distinct(), list(by), "left_semi")
+    links = own.select(F.col("id").alias("_id"), F.col("text").alias("_text"), F.col("prev_id").alias("_pp"), F.col("next_id").alias("_nn"))
     # a step also takes in where it comes from, so a chain that loops back ends after `height` steps
     for _ in range(h):
         out = out.join(links, F.col("_p") == F.col("_id"), "left").withColumns({"_before": F.when(F.col("_id").isNotNull(), F.concat(F.array("_text"), F.col("_before"))).otherwise(F.col("_before")), "_p": F.col("_pp")}).drop(*links.columns)
@@ -129,7 +199,7 @@ def window_context(nodes: DataFrame, height: int, by: Sequence[str] = ("doc_id",
     return nodes.withColumn("context", F.array_join(F.filter(F.collect_list("text").over(w), lambda x: x != ""), " "))
 
 
-def hits(found: DataFrame) -> DataFrame:
-    """A search result's columns, with defaults for what a node lacks."""
+def hits(found: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """A search result's columns, after those of `more`, with defaults for what a node lacks."""
     kept = ("id", "score", "context", "doc_id", "name", "version", "kind", "type", "numbering", "block", "breadcrumb", "tags", "parent_id", "prev_id", "next_id", "document_level", "territory_id", "territory_name", "territory_path", "table_html", "metadata", "references", "text")
-    return found.select(*[F.coalesce(F.col(c), default_of(c)).alias(c) if c not in ("score", "context") else F.col(c) for c in kept if c in found.columns])
+    return found.select(*more, *[F.coalesce(F.col(c), default_of(c)).alias(c) if c not in ("score", "context") else F.col(c) for c in kept if c in found.columns])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +110,8 @@ def tagged(parts: DataFrame, markup: Markup | None = None) -> DataFrame:
     """parts with type, numbering, relation, block and tags by a markup provider, a document at a time in windows; a part that the provider says nothing of is a paragraph deeper than the one before."""
     model = markup or RuleMarkup()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        texts, best = pdf["text"].tolist(), {}
+    def read(texts: list[str]) -> list[tuple]:
+        best: dict[int, tuple] = {}
         for a, b in windows_of([len(t) for t in texts], items=WINDOW_ITEMS):
             try:
                 found = model.tag(texts[a:b])
@@ -120,14 +120,17 @@ def tagged(parts: DataFrame, markup: Markup | None = None) -> DataFrame:
             for pos, x in enumerate(found):
                 if a + pos not in best or pos > best[a + pos][0]:
                     best[a + pos] = (pos, x)
-        rows = [best[k][1] if k in best else ("paragraph", "", "deeper", "main", []) for k in range(len(texts))]
-        for c, values in zip(("type", "numbering", "relation", "block", "tags"), zip(*rows, strict=True), strict=True):
-            pdf[c] = list(values)
-        return pdf
+        return [best[k][1] if k in best else ("paragraph", "", "deeper", "main", []) for k in range(len(texts))]
 
-    base = parts.select("doc_id", "part", "text", "category", "html", "src_ids")
-    kinds = dict(base.dtypes)
-    return base.groupBy("doc_id").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in base.columns) + ", type string, numbering string, relation string, block string, tags array<string>")
+    @F.pandas_udf("array<struct<type:string,numbering:string,relation:string,block:string,tags:array<string>>>")
+    def run(s: pd.Series) -> pd.Series:
+        names = ("type", "numbering", "relation", "block", "tags")
+        return s.map(lambda xs: [dict(zip(names, x, strict=True)) for x in read(list(xs))])
+
+    base = ("part", "text", "category", "html", "src_ids")
+    docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*base))).alias("ps"))
+    each = docs.select("doc_id", F.explode(F.arrays_zip("ps", run(F.transform("ps", lambda x: F.coalesce(x["text"], F.lit("")))).alias("found"))).alias("z"))
+    return each.select("doc_id", "z.ps.*", "z.found.*")
 
 
 def depths(ranks: Sequence[int | None], relations: Sequence[str]) -> tuple[list[int], list[int]]:
@@ -175,16 +178,15 @@ def flatten_unnumbered(children: dict[int, list[int]], ranked: Sequence[bool], m
     return new
 
 
-def tree(pdf: pd.DataFrame, title: str = "document", most: int = 1) -> pd.DataFrame:
-    """A document's parts (text, numbering, rank, relation, block, type, category, html, src_ids, tags, in order of part) as nodes in reading order, root first."""
-    pdf = pdf.sort_values("part").reset_index(drop=True)
-    ranks = [None if pd.isna(x) else int(x) for x in pdf["rank"]]
-    parent, _ = depths(ranks, pdf["relation"].tolist())
+def tree(doc, parts: list[dict], title: str = "document", most: int = 1) -> list[dict]:
+    """A document's parts (text, numbering, rank, relation, block, type, category, html, src_ids, tags, in order) as nodes in reading order, root first."""
+    ranks = [p["rank"] for p in parts]
+    parent, _ = depths(ranks, [p["relation"] for p in parts])
     children: dict[int, list[int]] = {}
     for k, p in enumerate(parent, 1):
         children.setdefault(p, []).append(k)
     children = flatten_unnumbered(children, [True, *[r is not None for r in ranks]], most)
-    blocks = ["main", *pdf["block"]]
+    blocks = ["main", *[p["block"] for p in parts]]
     # runs of two or more amendments at the top go into a container
     top, grouped, k = children.get(0, []), [], 0
     extra = len(blocks)
@@ -200,15 +202,13 @@ def tree(pdf: pd.DataFrame, title: str = "document", most: int = 1) -> pd.DataFr
             grouped += top[k : max(j, k + 1)]
         k = max(j, k + 1)
     children[0] = grouped
-    doc = pdf["doc_id"].iloc[0]
-    columns = {c: pdf[c].tolist() for c in ("text", "numbering", "type", "category", "html", "src_ids", "tags")}
 
     def of(node: int, c: str):
         if node == 0:
-            return {"text": title, "type": "document", "src_ids": [], "tags": []}.get(c)
-        if node > len(pdf):
-            return {"text": AMENDMENTS, "type": "amendment", "src_ids": [], "tags": []}.get(c)
-        return columns[c][node - 1]
+            return {"text": title, "type": "document"}.get(c)
+        if node > len(parts):
+            return {"text": AMENDMENTS, "type": "amendment"}.get(c)
+        return parts[node - 1][c]
 
     order = flattened(children)
     ident = {n: hashlib.sha256(f"{doc}|{i}".encode()).hexdigest()[:32] for i, (n, _, _) in enumerate(order)}
@@ -222,19 +222,32 @@ def tree(pdf: pd.DataFrame, title: str = "document", most: int = 1) -> pd.DataFr
         table = of(n, "category") == "Table"
         rows.append({
             "doc_id": doc, "order": i, "id": ident[n], "text": of(n, "text"), "type": of(n, "type"), "kind": "table" if table else "text", "table_html": of(n, "html") if table else None, "numbering": of(n, "numbering") or "",
-            "block": blocks[n] if n < len(blocks) else "amendment", "depth": d, "src_ids": [int(x) for x in of(n, "src_ids")], "tags": list(of(n, "tags")), "parent_id": None if p is None else ident[p], "parent_text": None if p is None else of(p, "text")[:300],
+            "block": blocks[n] if n < len(blocks) else "amendment", "depth": d, "src_ids": of(n, "src_ids") or [], "tags": of(n, "tags") or [], "parent_id": None if p is None else ident[p], "parent_text": None if p is None else of(p, "text")[:300],
             "breadcrumb": trail[n], "child_ids": [ident[c] for c in children.get(n, [])], "prev_id": ident[order[i - 1][0]] if i else None, "next_id": ident[order[i + 1][0]] if i + 1 < len(order) else None,
         })
-    return pd.DataFrame(rows)
+    return rows
 
 
+_STRINGS, _INTS = pa.list_(pa.string()), pa.list_(pa.int32())
+_NODE = [("order", pa.int32()), ("id", pa.string()), ("text", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("table_html", pa.string()), ("numbering", pa.string()), ("block", pa.string()), ("depth", pa.int32()), ("src_ids", _INTS), ("tags", _STRINGS), ("parent_id", pa.string()), ("parent_text", pa.string()), ("breadcrumb", pa.string()), ("child_ids", _STRINGS), ("prev_id", pa.string()), ("next_id", pa.string())]
 NODES = "doc_id {id}, order int, id string, text string, type string, kind string, table_html string, numbering string, block string, depth int, src_ids array<int>, tags array<string>, parent_id string, parent_text string, breadcrumb string, child_ids array<string>, prev_id string, next_id string"
 
 
 def hierarchy(parts: DataFrame, most: int = 1) -> DataFrame:
-    """Tagged parts -> flat nodes. The rank is that of the part's number."""
-    ranked = parts.withColumn("rank", numbering_rank(F.col("numbering"))).select("doc_id", "part", "text", "category", "html", "src_ids", "type", "numbering", "relation", "block", "tags", "rank")
-    return ranked.groupBy("doc_id").applyInPandas(lambda pdf: tree(pdf, most=most), NODES.format(id=dict(ranked.dtypes)["doc_id"]))
+    """Tagged parts -> flat nodes. The rank is that of the part's number. A document is one row of the input to Python, and a batch holds many."""
+    fields = ("part", "text", "category", "html", "src_ids", "type", "numbering", "relation", "block", "tags", "rank")
+    ranked = parts.withColumn("rank", numbering_rank(F.col("numbering"))).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(0), *_NODE])
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                rows = [r for doc, ps in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in tree(doc, ps, most=most)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return docs.mapInArrow(run, NODES.format(id=dict(ranked.dtypes)["doc_id"]))
 
 
 def depths_sql(ranks: Column) -> Column:

@@ -5,26 +5,20 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexa.functions.identity import level_of, normalize_territory
+from codexa.operators.scopes import chains
 
 LEAST_SCORE, LEAST_MARGIN, DEEPEST = 0.72, 0.08, 12
 
 
 def paths(territories: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """(territory_id, path): ids from the root down. `deepest` steps at most, and none to a territory met before, so a cycle ends."""
-    spark = territories.sparkSession
-    territories.select("territory_id", "parent_id").createOrReplaceTempView("_territories")
-    return spark.sql(f"""
-        WITH RECURSIVE up AS (
-          SELECT territory_id, parent_id AS above, array(territory_id) AS path FROM _territories
-          UNION ALL
-          SELECT u.territory_id, t.parent_id, concat(array(t.territory_id), u.path) FROM up u JOIN _territories t ON t.territory_id = u.above
-          WHERE size(u.path) < {deepest} AND NOT array_contains(u.path, t.territory_id))
-        SELECT territory_id, max_by(path, size(path)) AS path FROM up GROUP BY territory_id""")
+    up = chains(territories.select(F.col("territory_id").alias("id"), F.col("parent_id")), deepest)
+    return up.select(F.col("id").alias("territory_id"), F.reverse("chain").alias("path"))
 
 
 def closure(paths_: DataFrame) -> DataFrame:
@@ -67,11 +61,12 @@ def similarity(query: Column, candidate: Column) -> Column:
 
 def best_match(queries: DataFrame, candidates: DataFrame, least: float = LEAST_SCORE, margin: float = LEAST_MARGIN) -> DataFrame:
     """queries (query_id, query) x candidates (territory_id, name): (query_id, query, territory_id, score); territory_id is null unless the best is good enough and clear of the next."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "territory_id")
-    scored = queries.crossJoin(candidates.select("territory_id", "name")).withColumn("score", similarity(F.col("query"), F.col("name")))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "territory_id")
+    # each distinct query once, against the whole list of candidates: a table of regions, hence small
+    scored = queries.select("query").distinct().crossJoin(candidates.select("territory_id", "name")).withColumn("score", similarity(F.col("query"), F.col("name")))
     top = scored.withColumns({"_r": F.row_number().over(w), "_next": F.lead("score").over(w)}).where("_r = 1")
     sure = (F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))
-    return queries.join(top.select(F.col("query_id").alias("_q"), F.when(sure, F.col("territory_id")).alias("territory_id"), "score"), F.col("query_id") == F.col("_q"), "left").drop("_q").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return queries.join(top.select(F.col("query").alias("_q"), F.when(sure, F.col("territory_id")).alias("territory_id"), "score"), F.col("query") == F.col("_q"), "left").drop("_q").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def scope_columns(territories: DataFrame, paths_: DataFrame, source: str = "auto") -> DataFrame:
@@ -82,7 +77,7 @@ def scope_columns(territories: DataFrame, paths_: DataFrame, source: str = "auto
 REASONS = {"level": "the document's level is not known", "name": "no territory is named", "region": "the region is not recognised", "none": "no such territory", "tie": "the territory's name is ambiguous"}
 
 
-def scope_of_heads(heads: DataFrame, territories: DataFrame, root: int, spark: SparkSession | None = None) -> DataFrame:
+def scope_of_heads(heads: DataFrame, territories: DataFrame, root: int) -> DataFrame:
     """heads (doc_id, level_hint, territory_hint, region_hint) -> (doc_id, territory_id, territory_confidence, tagging_status, tagging_error).
 
     Federal documents belong to the root; regional ones to the best match among the regions; municipal ones to the best among the names that hold the hint at level 3 or below, narrowed to the hinted region where that leaves any. What is not clear stays pending, with the reason.
@@ -93,14 +88,15 @@ def scope_of_heads(heads: DataFrame, territories: DataFrame, root: int, spark: S
     by_region = best_match(h.where("level = 'regional' and hint <> ''").select(F.col("doc_id").alias("query_id"), F.col("hint").alias("query")), regions).select(F.col("query_id").alias("doc_id"), "territory_id", "score", F.lit("region").alias("why"))
     towns = territories.where("level >= 3").select(F.col("territory_id").alias("town"), F.col("name").alias("town_name"))
     m = h.where("level = 'municipal' and hint <> ''")
-    near = m.join(towns, F.contains(F.lower("town_name"), F.lower("hint")))
-    hinted = best_match(m.where("region <> ''").select(F.col("doc_id").alias("query_id"), F.col("region").alias("query")), regions).select(F.col("query_id").alias("rd"), F.col("territory_id").alias("rid"))
+    hints = m.select("hint").distinct().join(towns, F.contains(F.lower("town_name"), F.lower("hint"))).withColumn("score", similarity(F.col("hint"), F.col("town_name")))
+    near = m.join(hints.select(F.col("hint").alias("_h"), "town", "town_name", "score"), F.col("hint") == F.col("_h")).drop("_h")
+    hinted = best_match(m.where("region <> ''").select(F.col("doc_id").alias("query_id"), F.col("region").alias("query")), regions).select(F.col("query_id").alias("rd"), F.col("territory_id").alias("rid")).distinct()
     inside = links.select(F.col("territory_id").alias("it"), F.col("ancestor_id").alias("ia"))
     near = near.join(hinted, F.col("doc_id") == F.col("rd"), "left").join(inside, (F.col("town") == F.col("it")) & (F.col("rid") == F.col("ia")), "left")
     w = Window.partitionBy("doc_id")
     near = near.withColumn("_any", F.max(F.col("it").isNotNull()).over(w)).where("not _any or it is not null")
     r = Window.partitionBy("doc_id").orderBy(F.desc("score"), "town")
-    top = near.withColumn("score", similarity(F.col("hint"), F.col("town_name"))).withColumns({"_r": F.row_number().over(r), "_next": F.lead("score").over(r)}).where("_r = 1")
+    top = near.withColumns({"_r": F.row_number().over(r), "_next": F.lead("score").over(r)}).where("_r = 1")
     sure = (F.col("score") >= LEAST_SCORE) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= LEAST_MARGIN))
     by_town = m.select("doc_id").join(top.select("doc_id", F.when(sure, F.col("town")).alias("territory_id"), "score"), "doc_id", "left").select("doc_id", "territory_id", "score", F.when(F.col("score").isNull(), "none").otherwise("tie").alias("why"))
     rest = h.where("level not in ('regional', 'municipal') or hint = ''").select("doc_id", F.when(F.col("level") == "federal", root).cast("int").alias("territory_id"), F.when(F.col("level") == "federal", 1.0).alias("score"), F.when(F.col("level").isin("regional", "municipal"), "name").otherwise("level").alias("why"))
@@ -109,9 +105,14 @@ def scope_of_heads(heads: DataFrame, territories: DataFrame, root: int, spark: S
     return by_region.unionByName(by_town).unionByName(rest).select("doc_id", "territory_id", F.when(ok, F.round("score", 3)).alias("territory_confidence"), F.when(ok, "ok").otherwise("pending").alias("tagging_status"), F.when(~ok, reasons[F.col("why")]).alias("tagging_error"))
 
 
-def sweep(nodes: DataFrame, heads: DataFrame, territories: DataFrame, root: int, now_attempts: int = 1) -> DataFrame:
-    """nodes after another attempt at the open scopes: what is found is filled in, what is not counts one more attempt. Run again, it changes nothing that was found."""
-    found = scope_of_heads(heads, territories, root)
+def sweep(nodes: DataFrame, heads: DataFrame, territories: DataFrame, root: int, now_attempts: int = 1, limit: int | None = None, dry_run: bool = False, attempts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(nodes after another attempt at the open scopes, the outcome of each document tried). What is found is filled in, what is not counts one more attempt; run again, it changes nothing that was found. Only documents still pending that were not tried too often are tried, the `limit` first by doc_id if one is given; a dry run leaves the nodes as they are."""
+    open_docs = nodes.where((F.col("tagging_status") == "pending") & (F.coalesce("tagging_attempts", F.lit(0)) < attempts)).select("doc_id").distinct()
+    if limit is not None:
+        open_docs = open_docs.orderBy("doc_id").limit(limit)
+    found = scope_of_heads(heads.join(open_docs, "doc_id", "left_semi"), territories, root)
+    if dry_run:
+        return nodes, found
     scope = scope_columns(territories, paths(territories)).withColumnRenamed("territory_id", "_t")
     f = found.join(scope, F.col("territory_id") == F.col("_t"), "left").select(F.col("doc_id").alias("_d"), *[F.col(c).alias(f"_{c}") for c in ("territory_id", "territory_confidence", "tagging_status", "tagging_error", "document_level", "territory_name", "territory_type_id", "territory_type_name", "territory_path", "level_source", "territory_source")])
     j = nodes.join(f, F.col("doc_id") == F.col("_d"), "left")
@@ -120,4 +121,4 @@ def sweep(nodes: DataFrame, heads: DataFrame, territories: DataFrame, root: int,
     changed = {c[1:]: F.when(done, F.col(c)).otherwise(F.col(c[1:])) for c in f.columns if c not in ("_d", "_tagging_error")}
     changed["tagging_error"] = F.when(open_, F.col("_tagging_error")).otherwise(F.col("tagging_error"))
     changed["tagging_attempts"] = F.when(open_ & ~done, F.col("tagging_attempts") + now_attempts).otherwise(F.col("tagging_attempts"))
-    return j.select(*[changed.get(c, F.col(c)).alias(c) for c in nodes.columns])
+    return j.select(*[changed.get(c, F.col(c)).alias(c) for c in nodes.columns]), found

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterable
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +53,36 @@ def other_versions(documents: DataFrame) -> DataFrame:
     return documents.withColumn("other_versions", F.array_sort(F.array_except(F.collect_set("version").over(w), F.array("version"))))
 
 
+def first_of(hashes: DataFrame, order: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): of a scope's documents with one content hash the first by `order` is accepted."""
+    first = hashes.groupBy("scope_key", "content_hash").agg(F.min(order).alias("_first"))
+    j = hashes.join(first, ["scope_key", "content_hash"])
+    return j.where(F.col(order) == F.col("_first")).drop("_first"), j.where(F.col(order) != F.col("_first")).drop("_first")
+
+
+def set_versions(nodes: DataFrame, versions: DataFrame) -> DataFrame:
+    """nodes with the versions of (id, versions), where there are any."""
+    return patch_from(nodes, versions.select("id", "versions"))
+
+
+def register(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry (scope_key, content_hash, name, version, doc_id) with new entries; an entry of one scope and hash replaces the one before."""
+    keys = ["scope_key", "content_hash"]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct("name", "version", "doc_id"), F.struct("version", "doc_id")).alias("e")).select(*keys, "e.*")
+    return registry.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*registry.columns))
+
+
+def unregister(registry: DataFrame, gone: DataFrame) -> DataFrame:
+    """Without the entries of (name, version): of all versions where version is null."""
+    g = gone.select(F.col("name").alias("_n"), F.col("version").alias("_v")).distinct()
+    return registry.join(g, (F.col("name") == F.col("_n")) & (F.col("_v").isNull() | (F.col("version") == F.col("_v"))), "left_anti")
+
+
+def wipe(registry: DataFrame, scope_key: str) -> DataFrame:
+    """Without anything of a scope."""
+    return registry.where(~F.coalesce(F.col("scope_key") == scope_key, F.lit(False)))
+
+
 def upsert(nodes: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The snapshot with new nodes in place of those with their ids."""
     return nodes.join(new.select(key), key, "left_anti").unionByName(new)
@@ -147,21 +177,32 @@ def block_matches(old: list[str], new: list[str], points: dict[str, list[int]],
     return set(held), insert, covers
 
 
-def _delta_of(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    old, new = old.sort_values(["order", "id"]), new.sort_values(["order", "id"])
-    ints = lambda xs: [int(x) for x in xs] if isinstance(xs, Iterable) else []
-    a = next(iter(old["edition_hashes"]), None) if len(old) else None
-    b = next(iter(new["edition_hashes"]), None) if len(new) else None
-    stay, insert, covers = block_matches(list(a) if a is not None else [], list(b) if b is not None else [], dict(zip(old["id"], map(ints, old["src_block_ids"]), strict=True)), dict(zip(new["id"], map(ints, new["src_block_ids"]), strict=True)))
-    rows = [(key[0], p, "keep", None) for p in old["id"] if p in stay] + [(key[0], n, "insert", None) for n in new["id"] if n in insert] + [(key[0], n, "skip", covers.get(n)) for n in new["id"] if n not in insert]
-    return pd.DataFrame(rows, columns=["name", "id", "action", "covered_by"])
+def editions(blocks: DataFrame, by: str = "name", order: str = "order") -> DataFrame:
+    """(by, hashes): the block hashes of each edition, in order."""
+    return blocks.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "block_hash"))), lambda x: x["block_hash"]).alias("hashes"))
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        for name, old, new, a, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            old, new = old or [], new or []
+            stay, insert, covers = block_matches(a or [], b or [], {x["id"]: x["src_block_ids"] or [] for x in old}, {x["id"]: x["src_block_ids"] or [] for x in new})
+            rows += [(name, x["id"], "keep", None) for x in old if x["id"] in stay]
+            rows += [(name, x["id"], "insert", None) if x["id"] in insert else (name, x["id"], "skip", covers.get(x["id"])) for x in new]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.record_batch([pa.array(c, pa.string()) for c in cols], names=["name", "id", "action", "covered_by"])
+
+
+def delta(stored: DataFrame, new: DataFrame, old_editions: DataFrame, new_editions: DataFrame) -> DataFrame:
+    """(name, id, action, covered_by) of an update: stored nodes to keep, new ones to insert, new ones that a stored one covers. Nodes carry src_block_ids, numbers of blocks of their edition; editions are (name, hashes). A document is one row of each side, aligned on its own."""
 
+    def side(nodes: DataFrame, hashes: DataFrame, tag: str) -> DataFrame:
+        packed = nodes.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "id", "src_block_ids"))), lambda x: F.struct(x["id"].alias("id"), x["src_block_ids"].alias("src_block_ids"))).alias(f"{tag}_nodes"))
+        return packed.join(hashes.select("name", F.col("hashes").alias(f"{tag}_hashes")), "name", "full")
 
-def delta(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, id, action, covered_by) of an update: stored nodes to keep, new ones to insert, new ones that a stored one covers. Both sides carry src_block_ids and edition_hashes, the block hashes of their edition. One document's nodes are aligned together."""
-    cols = ["name", "id", "order", "src_block_ids", "edition_hashes"]
-    renamed = [F.col(c).alias(c) for c in cols]  # both sides may come from one snapshot
-    return stored.select(*renamed).groupBy("name").cogroup(new.select(*renamed).groupBy("name")).applyInPandas(_delta_of, "name string, id string, action string, covered_by string")
+    both = side(stored, old_editions, "old").join(side(new, new_editions, "new"), "name", "full")
+    return both.select("name", "old_nodes", "new_nodes", "old_hashes", "new_hashes").mapInArrow(_deltas, "name string, id string, action string, covered_by string")
 
 
 def updated(nodes: DataFrame, new: DataFrame, version: str, actions: DataFrame) -> DataFrame:

@@ -38,55 +38,75 @@ def joined(c, by: str = ",") -> F.Column:
 # --- vector search -----------------------------------------------------------------------------
 
 
-def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    row = corpus.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
-    return list(row["embedding"]) if row else [1.0]
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 100."""
+    return corpus.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_COSINE = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_PAIRS = f"SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"
+_TOP = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {}"
+_VECTORS = f"WITH {DOCS_SQL}, v AS (SELECT docs.*, vec_id, query_id, score FROM docs JOIN ({_PAIRS}) ON vec_id = doc_id)"
+
 
+def _embeddings(spark, sf_dir) -> DataFrame:
+    return corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
 
-_COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
-_VECTORS = f"WITH {DOCS_SQL}, v AS (SELECT docs.*, label, {_COSINE} AS score FROM docs JOIN embeddings ON vec_id = doc_id)"
 
+def _scored(found: DataFrame, name: str = "vec_id") -> DataFrame:
+    return found.select("query_id", F.col("id").alias(name), F.round("score", 6).alias("score"))
 
-@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10)")
+
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({_PAIRS}) " + _TOP.format(10))
 def topk_search(spark, sf_dir):
-    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
-    return search.topk(v, _first_vector(spark, sf_dir), 10).select("vec_id", F.round("score", 6).alias("score"))
+    return _scored(search.topk_each(_embeddings(spark, sf_dir), _queries(spark, sf_dir), 10))
 
 
-@query("WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e) SELECT query_id, vec_id, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
-def topk_each(spark, sf_dir):
-    """Every embedding searches all of them."""
-    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
-    return search.topk_each(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def topk_one_vector(spark, sf_dir):
+    """One vector's search, as the engine's users ask it: a sorted head of each partition."""
+    row = corpus.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return search.topk(_embeddings(spark, sf_dir), list(row["embedding"]) if row else [1.0], 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 25)")
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({_PAIRS} AND e.label IN (1, 2, 3)) " + _TOP.format(25))
 def topk_filtered_label(spark, sf_dir):
-    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
-    return search.topk(v, _first_vector(spark, sf_dir), 25, F.col("label").isin(1, 2, 3)).select("vec_id", F.round("score", 6).alias("score"))
+    return _scored(search.topk_each(_embeddings(spark, sf_dir), _queries(spark, sf_dir), 25, F.col("label").isin(1, 2, 3)))
 
 
-@query(_VECTORS + " SELECT doc_id, name, round(score, 6) AS score, text FROM (SELECT * FROM v WHERE coalesce(user_id, '') = '' AND lang = 'en' ORDER BY score DESC, doc_id LIMIT 10)")
+@query(_VECTORS + " SELECT query_id, doc_id, name, round(score, 6) AS score, text FROM v WHERE coalesce(user_id, '') = '' AND lang = 'en' " + _TOP.format(10))
 def topk_text_join(spark, sf_dir):
-    where = search.predicate(lang="en")
-    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), 10, where).select("doc_id", "name", F.round("score", 6).alias("score"), "text")
+    v = corpus.vectors(spark, sf_dir)
+    best = search.topk_each(v, _queries(spark, sf_dir), 10, search.predicate(lang="en"))
+    return best.join(v.select("doc_id", "name", "text"), F.col("id") == F.col("doc_id")).select("query_id", "doc_id", "name", F.round("score", 6).alias("score"), "text")
 
 
-@query(_VECTORS + " SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM v WHERE coalesce(user_id, '') = '' ORDER BY score DESC, doc_id LIMIT 10)")
+@query(_VECTORS + " SELECT query_id, doc_id, round(score, 6) AS score FROM v WHERE coalesce(user_id, '') = '' " + _TOP.format(10))
 def topk_limit_zero_default(spark, sf_dir):
-    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), 0, search.predicate()).select("doc_id", F.round("score", 6).alias("score"))
+    return _scored(search.topk_each(corpus.vectors(spark, sf_dir), _queries(spark, sf_dir), 0, search.predicate()), "doc_id")
 
 
-@query(_VECTORS + " SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM v WHERE user_id = 'u0' AND project_id IN ('p0') ORDER BY score DESC, doc_id LIMIT 10)")
+@query(_VECTORS + " SELECT query_id, doc_id, round(score, 6) AS score FROM v WHERE user_id = 'u0' AND project_id IN ('p0') " + _TOP.format(10))
 def topk_user_index(spark, sf_dir):
     where = search.predicate(user_id="u0", project_ids=["p0"], include_shared=False)
-    return search.topk(corpus.vectors(spark, sf_dir), _first_vector(spark, sf_dir), None, where).select("doc_id", F.round("score", 6).alias("score"))
+    return _scored(search.topk_each(corpus.vectors(spark, sf_dir), _queries(spark, sf_dir), None, where), "doc_id")
+
+
+@query(_VECTORS + """, best AS (SELECT query_id, doc_id AS id, score, text FROM v WHERE coalesce(user_id, '') = '' AND lang = 'de' """ + _TOP.format(3) + """)
+SELECT b.query_id, b.id, round(b.score, 6) AS score, concat_ws(' ', nullif(p.text, ''), nullif(b.text, ''), nullif(n.text, '')) AS context, 'main' AS block FROM best b LEFT JOIN docs p ON p.doc_id = b.id - 1 LEFT JOIN docs n ON n.doc_id = b.id + 1""")
+def search_composed(spark, sf_dir):
+    """Filter, nearest nodes, context and hits in one call, documents being a chain in order of their ids."""
+    d = corpus.documents(spark, sf_dir).withColumns({"id": F.col("doc_id"), "prev_id": F.col("doc_id") - 1, "next_id": F.col("doc_id") + 1, "book": F.lit(1), "block": F.lit("main")})
+    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nodes = d.join(v, F.col("doc_id") == F.col("vec_id"), "left").withColumn("doc_id", F.lit("book"))
+    return search.search(nodes, _queries(spark, sf_dir), limit=3, height=1, where=search.predicate(lang="de")).select("query_id", "id", F.round("score", 6).alias("score"), "context", "block")
 
 
 @query()
 def topk_lsh(spark, sf_dir):
-    v = corpus.table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
-    return search.topk_lsh(v, _first_vector(spark, sf_dir)).select("vec_id", F.round("score", 6).alias("score"))
+    v = _embeddings(spark, sf_dir)
+    row = v.where("vec_id = 0").select("embedding").first()
+    return search.topk_lsh(v, list(row["embedding"]) if row else [1.0]).select("vec_id", F.round("score", 6).alias("score"))
 
 
 # --- predicates --------------------------------------------------------------------------------
@@ -138,9 +158,16 @@ def filter_block_types(spark, sf_dir):
     return _by_name(corpus.nodes(spark, sf_dir).where(search.predicate(block="amendment", types=["paragraph", "clause"])))
 
 
-@query(f"WITH {NODES_SQL} SELECT id, text FROM nodes WHERE id IN ('1:0', '2:1', '7:0', 'none')")
+@query(f"WITH {NODES_SQL} SELECT id, text FROM nodes WHERE id IN (SELECT doc_id || ':' || (doc_id % 4) FROM docs)")
 def point_lookup(spark, sf_dir):
-    return corpus.nodes(spark, sf_dir).where(F.col("id").isin("1:0", "2:1", "7:0", "none")).select("id", "text")
+    ids = corpus.documents(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("doc_id") % 4).alias("id"))
+    return search.points(corpus.nodes(spark, sf_dir), ids).select("id", "text")
+
+
+@query("SELECT e.vec_id AS id, len(e.embedding) AS size FROM embeddings e SEMI JOIN documents d ON d.doc_id = e.vec_id")
+def point_vectors(spark, sf_dir):
+    ids = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return search.points(_embeddings(spark, sf_dir), ids).select("id", F.size("embedding").cast("bigint").alias("size"))
 
 
 @query(f"WITH {DOCS_SQL} SELECT doc_id, version, '/documents/' || name || '/source?version=' || version AS url FROM docs WHERE user_id IS NULL UNION ALL SELECT doc_id, version, '/user-documents/' || name || '/source?user_id=' || user_id || '&project_id=' || project_id || '&version=' || version FROM docs WHERE user_id IS NOT NULL")
@@ -270,12 +297,13 @@ def source_offsets(spark, sf_dir):
     return structure.source_spans(corpus.nodes(spark, sf_dir).withColumn("block_idx", F.col("order"))).select("id", "start", "end")
 
 
-@query(f"WITH {_SPANS} SELECT doc_id, CAST(min(e - n) AS INTEGER) AS char_start, CAST(max(e) AS INTEGER) AS char_end, doc_id || ':span:' || CAST(min(e - n) AS INTEGER) || ':' || CAST(max(e) AS INTEGER) AS span_id FROM spans WHERE ord IN (1, 3) GROUP BY doc_id")
+@query(f"WITH {_SPANS} SELECT doc_id, CAST(min(e - n) AS INTEGER) AS char_start, CAST(max(e) AS INTEGER) AS char_end, min(1 + ord // 40) AS page_start, max(1 + ord // 40) AS page_end, doc_id || ':span:' || CAST(min(e - n) AS INTEGER) || ':' || CAST(max(e) AS INTEGER) AS span_id, array_to_string([min(ord), 0, 100, min(ord) + 10], ',') AS bbox FROM spans GROUP BY doc_id, ord // 50")
 def grounding_minmax(spark, sf_dir):
-    n = corpus.nodes(spark, sf_dir).withColumn("block_idx", F.col("order"))
+    """Nodes of fifty blocks each, and one block that doesn't exist; forty blocks a page."""
+    n = corpus.nodes(spark, sf_dir).withColumn("block_idx", F.col("order")).withColumns({"page": F.expr("1 + block_idx div 40").cast("int"), "bbox": F.array(F.col("block_idx").cast("double"), F.lit(0.0), F.lit(100.0), F.col("block_idx") + 10.0)})
     spans = structure.source_spans(n)
-    whole = corpus.documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("id"), F.array(F.lit(1), F.lit(3), F.lit(1_000_000)).alias("src_ids"))
-    return structure.grounded(whole, spans).where("char_start is not null").select("doc_id", "char_start", "char_end", "span_id")
+    whole = n.groupBy("doc_id", F.expr("block_idx div 50").alias("g")).agg(F.array_sort(F.collect_list("block_idx")).alias("b")).select("doc_id", F.concat_ws("/", "doc_id", "g").alias("id"), F.concat("b", F.array(F.lit(1_000_000))).alias("src_ids"))
+    return structure.grounded(whole, spans).select("doc_id", "char_start", "char_end", "page_start", "page_end", "span_id", F.array_join(F.transform("bbox", lambda x: x.cast("int").cast("string")), ",").alias("bbox"))
 
 
 @query(f"WITH {NODES_SQL} SELECT n.id, p.text AS parent_text, (SELECT count(*) FROM nodes c WHERE c.parent_id = n.id) AS children FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id")
@@ -294,10 +322,10 @@ def context_window(spark, sf_dir):
     return search.window_context(corpus.turns(spark, sf_dir), 2).select("id", "context")
 
 
-@query(f"WITH {TURNS_SQL} SELECT t.id, concat_ws(' ', b.text, a.text, t.text, c.text, d.text) AS context FROM turns t LEFT JOIN turns a ON a.id = t.prev_id LEFT JOIN turns b ON b.id = a.prev_id LEFT JOIN turns c ON c.id = t.next_id LEFT JOIN turns d ON d.id = c.next_id WHERE t.role = 'system'")
+@query(f"WITH {TURNS_SQL} SELECT t.id, concat_ws(' ', b.text, a.text, t.text, c.text, d.text) AS context FROM turns t LEFT JOIN turns a ON a.id = t.prev_id LEFT JOIN turns b ON b.id = a.prev_id LEFT JOIN turns c ON c.id = t.next_id LEFT JOIN turns d ON d.id = c.next_id")
 def context_walk(spark, sf_dir):
     t = corpus.turns(spark, sf_dir)
-    return search.context(t, t.where("role = 'system'"), 2).select("id", "context")
+    return search.context(t, t, 2).select("id", "context")
 
 
 # --- versions ----------------------------------------------------------------------------------
@@ -315,13 +343,27 @@ def content_hash_dups(spark, sf_dir):
     return versions.duplicates(_hashed(spark, sf_dir))
 
 
-@query(f"WITH {_HASHED}, old AS (SELECT * FROM hashed WHERE doc_id % 2 = 0) SELECT doc_id, content_hash FROM hashed WHERE doc_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM old)")
+_SCOPE = "CASE WHEN user_id IS NULL THEN 'shared' ELSE 'user:' || user_id || ':project:' || project_id END"
+
+
+@query(f"WITH {DOCS_SQL}, h AS (SELECT doc_id, sha256(text) AS content_hash, {_SCOPE} AS scope FROM docs) SELECT doc_id, content_hash FROM h QUALIFY doc_id = min(doc_id) OVER (PARTITION BY scope, content_hash)")
 def reject_duplicates(spark, sf_dir):
-    h = _hashed(spark, sf_dir).withColumn("scope_key", F.lit("shared"))
-    accepted, _ = versions.reject_known(h.where("doc_id % 2 = 1"), h.where("doc_id % 2 = 0"))
+    """Every document comes in, against all before it in its scope."""
+    scope = corpus.documents(spark, sf_dir).select("doc_id", scopes.scope_key(F.col("user_id"), F.col("project_id")).alias("scope_key"))
+    accepted, _ = versions.first_of(_hashed(spark, sf_dir).join(scope, "doc_id"))
     return accepted.select("doc_id", "content_hash")
 
 
+@query(f"WITH {_HASHED}, known AS (SELECT content_hash FROM hashed WHERE name = 'src1') SELECT doc_id, content_hash, content_hash IN (SELECT content_hash FROM known) AS rejected FROM hashed")
+def reject_registered(spark, sf_dir):
+    """Every document against one source's registry, in which another name is a ghost."""
+    d = corpus.documents(spark, sf_dir).select("doc_id", "name")
+    h = _hashed(spark, sf_dir).join(d, "doc_id").withColumn("scope_key", F.lit("shared"))
+    ghost = h.withColumns({"name": F.lit("gone")})
+    accepted, rejected = versions.reject_known(h, h.where("name = 'src1'").unionByName(ghost), d)
+    return accepted.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True))).select("doc_id", "content_hash", "rejected")
+
+
 @query("SELECT DISTINCT 'src' || (doc_id % 25) AS name FROM documents WHERE 'src' || (doc_id % 25) NOT IN (SELECT source FROM documents)")
 def ghost_registry(spark, sf_dir):
     d = corpus.documents(spark, sf_dir)
@@ -343,12 +385,15 @@ def block_unchanged_vs_prev_version(spark, sf_dir):
     return j.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.count("old_doc").alias("unchanged"))
 
 
-@query(f"""WITH {NODES_SQL}, k AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM nodes),
-a AS (SELECT *, row_number() OVER (PARTITION BY name, key ORDER BY ord, id) AS r FROM k WHERE doc_id % 40 < 20), b AS (SELECT *, row_number() OVER (PARTITION BY name, key ORDER BY ord, id) AS r FROM k WHERE doc_id % 40 >= 20)
-SELECT name, b.id AS new_id, a.id AS old_id FROM a JOIN b USING (name, key, r)""")
+@query(f"""WITH {NODES_SQL}, p AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY name ORDER BY version) AS before FROM docs),
+k AS (SELECT id, doc_id, key, row_number() OVER (PARTITION BY doc_id, key ORDER BY ord, id) AS r FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM nodes))
+SELECT p.doc_id, b.id AS new_id, a.id AS old_id FROM p JOIN k b ON b.doc_id = p.doc_id JOIN k a ON a.doc_id = p.before AND a.key = b.key AND a.r = b.r""")
 def text_match_pairs(spark, sf_dir):
+    """Each document against the one of its name before it."""
     n = corpus.nodes(spark, sf_dir)
-    return versions.text_matches(n.where("doc_id % 40 < 20"), n.where("doc_id % 40 >= 20")).select("name", "new_id", "old_id")
+    after = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("_c"), F.lead("doc_id").over(Window.partitionBy("name").orderBy("version")).alias("_after")).where("_after is not null")
+    old = n.select("doc_id", "id", "order", "text").join(after, F.col("doc_id") == F.col("_c")).select(F.col("_after").alias("doc_id"), "id", "order", "text")
+    return versions.text_matches(old, n.select("doc_id", "id", "order", "text"), by=("doc_id",)).select("doc_id", "new_id", "old_id")
 
 
 @query(f"WITH {DOCS_SQL} SELECT d.doc_id, coalesce((SELECT string_agg(o.version, ',' ORDER BY o.version) FROM docs o WHERE o.name = d.name AND o.version <> d.version), '') AS other_versions FROM docs d")
@@ -367,52 +412,51 @@ def delete_counts(spark, sf_dir):
     return versions.deletion_counts(corpus.nodes(spark, sf_dir), "000041")
 
 
-@query(f"WITH {NODES_SQL} SELECT name, count(*) AS nodes FROM nodes WHERE name <> 'src2' OR doc_id % 40 = 2 GROUP BY name")
+@query(f"""WITH {NODES_SQL}, kept AS (SELECT name, arg_min(territory_id, struct_pack(a := ord, b := id)) AS territory_id FROM nodes WHERE territory_id % 2 = 0 GROUP BY name), last AS (SELECT name, max(version) AS version FROM docs GROUP BY name)
+SELECT n.id, coalesce(kept.territory_id, n.territory_id) AS territory_id, CASE WHEN kept.name IS NULL THEN 'auto' ELSE 'manual' END AS territory_source FROM nodes n JOIN last USING (name, version) LEFT JOIN kept USING (name)""")
 def reload(spark, sf_dir):
+    """Every name is loaded anew by its last version; a scope set by hand (of an even territory) is kept."""
     n = corpus.nodes(spark, sf_dir)
-    for c in ("territory_type_name", "tagging_error", "level_source", "territory_source"):
+    for c in ("territory_type_name", "tagging_error", "level_source"):
         n = n.withColumn(c, F.lit("auto"))
-    n = n.withColumns({"territory_type_id": F.lit(3), "territory_confidence": F.lit(1.0)})
-    return versions.reload(n, n.where("name = 'src2' AND doc_id % 40 = 2")).groupBy("name").agg(F.count("*").alias("nodes"))
+    n = n.withColumns({"territory_type_id": F.lit(3), "territory_confidence": F.lit(1.0), "territory_source": F.when(F.col("territory_id") % 2 == 0, "manual").otherwise("auto")})
+    last = library.latest(corpus.documents(spark, sf_dir), "name").select("doc_id")
+    new = n.join(last, "doc_id", "left_semi").withColumn("territory_source", F.lit("auto"))
+    return versions.reload(n, new).select("id", "territory_id", "territory_source")
 
 
 @query()
 def delta_update(spark, sf_dir):
     """Each document against the one of its name before it, aligned by difflib."""
-    n = versions.block_hashes(corpus.nodes(spark, sf_dir)).select("doc_id", "name", "id", "order", "block_hash", F.array("order").alias("src_block_ids"))
-    e = n.groupBy(F.col("doc_id").alias("_d")).agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "block_hash"))), lambda x: x["block_hash"]).alias("edition_hashes"))
-    d = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("_c"), F.lead("doc_id").over(Window.partitionBy("name").orderBy("version")).alias("_after"))
-    full = n.join(e, F.col("doc_id") == F.col("_d")).drop("_d")
-    old = full.join(d, F.col("doc_id") == F.col("_c")).where("_after is not null").withColumn("name", F.col("_after").cast("string"))
-    new = full.withColumn("name", F.col("doc_id").cast("string")).join(d.select(F.col("_after").alias("_x")), F.col("doc_id") == F.col("_x"), "left_semi")
-    return versions.delta(old, new)
+    n = versions.block_hashes(corpus.nodes(spark, sf_dir)).select("doc_id", "id", "order", "block_hash", F.array("order").alias("src_block_ids"))
+    after = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("_c"), F.lead("doc_id").over(Window.partitionBy("name").orderBy("version")).alias("_after")).where("_after is not null")
+    old = n.join(after, F.col("doc_id") == F.col("_c")).withColumn("name", F.col("_after").cast("string"))
+    new = n.join(after.select(F.col("_after").alias("_x")), F.col("doc_id") == F.col("_x"), "left_semi").withColumn("name", F.col("doc_id").cast("string"))
+    return versions.delta(old, new, versions.editions(old), versions.editions(new))
 
 
-@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE type END AS type, CASE WHEN doc_id % 5 = 0 THEN '2024-05-05' END AS manual_edited_at FROM nodes")
+@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN ord = 0 THEN 'edited' ELSE type END AS type, CASE WHEN ord = 0 THEN '2024-05-05' END AS manual_edited_at FROM nodes")
 def editor_patch(spark, sf_dir):
+    """The heading of every document is edited."""
     n = corpus.nodes(spark, sf_dir).withColumn("manual_edited_at", F.lit(None).cast("string"))
-    return versions.edit(n, F.col("doc_id") % 5 == 0, {"type": F.lit("edited")}, "2024-05-05").select("id", "type", "manual_edited_at")
+    return versions.edit(n, F.col("type") == "chapter", {"type": F.lit("edited")}, "2024-05-05").select("id", "type", "manual_edited_at")
 
 
-@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN doc_id % 9 = 4 THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS text FROM nodes")
+@query(f"WITH {NODES_SQL} SELECT id, CASE WHEN block = 'amendment' THEN replace(upper(text), 'ẞ', 'SS') ELSE text END AS text FROM nodes")
 def upsert_nodes(spark, sf_dir):
+    """The amendments of every document come in anew."""
     n = corpus.nodes(spark, sf_dir)
-    return versions.upsert(n, n.where("doc_id % 9 = 4").withColumn("text", F.upper("text"))).select("id", "text")
+    return versions.upsert(n, n.where("block = 'amendment'").withColumn("text", F.upper("text"))).select("id", "text")
 
 
 # --- keys and numbers --------------------------------------------------------------------------
 
-_HEAD = "(SELECT doc_id, source, string_split(text, chr(10))[1] AS line FROM documents)"
 _KEY = "coalesce(nullif(trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'unknown')"
 
 
-def _heads(spark, sf_dir) -> DataFrame:
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("line"))
-
-
-@query(f"SELECT doc_id, {_KEY.format('line')} AS key FROM {_HEAD}")
+@query(f"WITH {NODES_SQL} SELECT id, {_KEY.format('text')} AS key FROM nodes")
 def normalize_key(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", fi.normalize_key(F.col("line")).alias("key"))
+    return corpus.nodes(spark, sf_dir).select("id", fi.normalize_key(F.col("text")).alias("key"))
 
 
 @query("SELECT doc_id, list_filter(string_split_regex(text, '[^0-9]+'), lambda x: length(x) = 4)[-1] AS version FROM documents")
@@ -426,9 +470,9 @@ def lookup_keys(spark, sf_dir):
     return d.select("doc_id", joined(fi.lookup_keys(F.col("source"), F.create_map(F.lit("code"), F.concat(F.lit("No. "), F.col("doc_id")))), "|").alias("keys"))
 
 
-@query(f"SELECT doc_id, trim(replace(upper(trim(regexp_replace(line, '\\s+', ' ', 'g'))), 'ẞ', 'SS'), ' .,;:') AS key FROM {_HEAD}")
+@query(f"WITH {NODES_SQL} SELECT id, trim(replace(upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ẞ', 'SS'), ' .,;:') AS key FROM nodes")
 def normalize_designation(spark, sf_dir):
-    return _heads(spark, sf_dir).select("doc_id", fi.normalize_designation(F.col("line")).alias("key"))
+    return corpus.nodes(spark, sf_dir).select("id", fi.normalize_designation(F.col("text")).alias("key"))
 
 
 _NUMBER = "CASE doc_id % 5 WHEN 0 THEN '4.' || (doc_id % 7) || '.' WHEN 1 THEN CAST(doc_id AS VARCHAR) WHEN 2 THEN 'a)' WHEN 3 THEN '1.2.3.4.5.6.7' ELSE ' 3.12) ' END"
@@ -475,11 +519,15 @@ def props_json(spark, sf_dir):
 # --- structure ---------------------------------------------------------------------------------
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n| \| '), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents) SELECT doc_id, CAST(unnest(range(len(p))) AS INTEGER) AS seg, unnest(p) AS text FROM d""")
+_MARK = "(?i)(\\\\S)\\\\s+((?:[0-9]+(?:\\\\.[0-9]+)+[.)]?|[0-9]+\\\\)|[а-яёa-z]\\\\)|[•·‣◦])\\\\s)"
+_CUT = f"regexp_replace(regexp_replace(text, '{_MARK}', '\\\\1' || chr(1) || '\\\\2', 'g'), '{_MARK}', '\\\\1' || chr(1) || '\\\\2', 'g')".replace("\\\\", "\\")
+
+
+@query(f"WITH {NODES_SQL}, p AS (SELECT doc_id, ord, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(12))), lambda x: x <> '') AS p FROM nodes WHERE regexp_matches(text, '\\S')), e AS (SELECT doc_id, ord, unnest(range(len(p))) AS k, unnest(p) AS text FROM p) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) - 1 AS INTEGER) AS seg, text FROM e")
 def split_segments(spark, sf_dir):
-    """Lines and table-like cells as segments; the texts have no inline markers, so the rule for those leaves them whole."""
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.filter(F.transform(F.split("text", r"\n| \| "), lambda x: F.btrim(x)), lambda x: x != "").alias("p"))
-    return d.select("doc_id", F.posexplode("p").alias("seg", "text"))
+    """Lines as blocks, cut at inline markers."""
+    n = corpus.nodes(spark, sf_dir).select("doc_id", F.col("order").alias("block_idx"), "text", F.lit("NarrativeText").alias("category"), F.lit(None).cast("string").alias("html"))
+    return structure.split_segments(structure.raw_blocks(n), sentences=False).select("doc_id", "seg", "text")
 
 
 _SEGS = NODES_SQL + """, s AS (SELECT doc_id, ord, id, text, trim(lag(text) OVER w) AS p, trim(text) AS c FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
@@ -507,13 +555,23 @@ def merge_parts(spark, sf_dir):
     return _parts(spark, sf_dir).select("doc_id", "part", "text", F.size("src_ids").cast("bigint").alias("segments"))
 
 
-@query()
+@query(f"""WITH {NODES_SQL}, t AS (SELECT id, unnest(range(len(x))) AS i, unnest(x) AS tok FROM (SELECT id, CASE WHEN text = '' THEN [''] ELSE regexp_extract_all(text, '\\s*\\S+\\s*|^\\s+$') END AS x FROM nodes)),
+m AS (SELECT *, trim(lower(trim(tok, ' ' || chr(9) || chr(13) || chr(12))), '.') AS word, lead(tok) OVER (PARTITION BY id ORDER BY i) AS after FROM t),
+c AS (SELECT *, CASE WHEN after IS NOT NULL AND regexp_matches(tok, '[.!?…]\\s+$') AND regexp_matches(after, '^[«"(\\[]?[A-ZА-ЯЁ0-9]') AND length(word) > 1 AND word NOT IN ('тыс', 'млн', 'млрд', 'руб', 'респ', 'обл', 'гг', 'ул', 'ст', 'пп', 'рис', 'табл', 'др', 'пр', 'см', 'им', 'напр') THEN 1 ELSE 0 END AS ends FROM m),
+g AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c)
+SELECT id, CAST(k AS INTEGER) AS k, CASE WHEN max(length(trim(tok, ' ' || chr(9) || chr(13) || chr(12)))) = 0 THEN string_agg(tok, '' ORDER BY i) ELSE trim(string_agg(tok, '' ORDER BY i), ' ' || chr(9) || chr(13) || chr(12)) END AS sentence FROM g GROUP BY id, k""")
 def sentences(spark, sf_dir):
     n = corpus.nodes(spark, sf_dir)
     return n.select("id", F.posexplode(ft.sentences(F.col("text"))).alias("k", "sentence"))
 
 
-@query()
+_MERGED = f"{_SEGS}, g AS (SELECT *, CAST(sum(CASE WHEN boundary = 'continuation' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS part FROM b), parts AS (SELECT doc_id, part, string_agg(text, ' ' ORDER BY ord) AS text FROM g GROUP BY doc_id, part)"
+
+
+@query(f"""WITH RECURSIVE {_MERGED}, pre AS (SELECT doc_id, part, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY part) AS upto, length(text) + 1 AS own, count(*) OVER (PARTITION BY doc_id) AS n FROM parts),
+fit AS (SELECT a.doc_id, a.part AS first, any_value(a.n) AS n, CAST(max(b.part) + 1 AS INTEGER) AS last FROM pre a JOIN pre b ON b.doc_id = a.doc_id AND b.part >= a.part AND b.part < a.part + 22 AND (b.part = a.part OR b.upto - a.upto + a.own - 1 <= 6000) GROUP BY a.doc_id, a.part),
+w AS (SELECT doc_id, 0 AS "window", first, last, n FROM fit WHERE first = 0 UNION ALL SELECT w.doc_id, w."window" + 1, fit.first, fit.last, fit.n FROM w JOIN fit ON fit.doc_id = w.doc_id AND fit.first = greatest(w.last - 3, w.first + 1) WHERE w.last < w.n)
+SELECT doc_id, CAST("window" AS INTEGER) AS "window", CAST(first AS INTEGER) AS first, last FROM w""")
 def make_windows(spark, sf_dir):
     return structure.windows(_parts(spark, sf_dir))
 
@@ -524,14 +582,15 @@ def reconcile(spark, sf_dir):
     return structure.reconcile(e)
 
 
-@query("""WITH r AS (SELECT c.doc_id, list({'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': CAST(1 + (c.doc_id * 7 + k * 5) % 4 AS INTEGER)} ORDER BY k) AS s FROM documents c, range(6) t(k) GROUP BY c.doc_id),
-f AS (SELECT doc_id, list_reduce(s, lambda a, x: {
+@query(f"""WITH {NODES_SQL}, r AS (SELECT doc_id, list({{'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': CAST(1 + length(text) % 4 AS INTEGER)}} ORDER BY ord) AS s FROM nodes GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(s, lambda a, x: {{
   'open': list_append(list_filter(a.open, lambda z: z < x.r), CAST(len(list_filter(a.open, lambda z: z < x.r)) + 1 AS INTEGER)),
-  'depths': list_append(a.depths, CAST(len(list_filter(a.open, lambda z: z < x.r)) + 1 AS INTEGER)), 'r': x.r}, {'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': 0}) AS a FROM r)
+  'depths': list_append(a.depths, CAST(len(list_filter(a.open, lambda z: z < x.r)) + 1 AS INTEGER)), 'r': x.r}}, {{'open': CAST([] AS INTEGER[]), 'depths': CAST([] AS INTEGER[]), 'r': 0}}) AS a FROM r)
 SELECT doc_id, array_to_string(a.depths, ',') AS depths FROM f""")
 def hierarchy_depths(spark, sf_dir):
-    r = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (1 + (F.col("doc_id") * 7 + k * 5) % 4).cast("int"))
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", joined(structure.depths_sql(r)).alias("depths"))
+    """The length of every line as its rank."""
+    r = corpus.nodes(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", F.length("text").alias("n")))), lambda x: (1 + x["n"] % 4).cast("int")).alias("r"))
+    return r.select("doc_id", joined(structure.depths_sql(F.col("r"))).alias("depths"))
 
 
 def _numbered(spark, sf_dir) -> DataFrame:
@@ -540,12 +599,27 @@ def _numbered(spark, sf_dir) -> DataFrame:
     return p.withColumns({"type": F.lit("paragraph"), "numbering": F.coalesce(number, F.lit("")), "relation": F.when(F.col("part") % 8 >= 6, "top").when(F.col("part") % 4 == 3, "same").otherwise("deeper"), "block": F.when(F.col("part") % 8 >= 6, "amendment").otherwise("main"), "tags": F.array().cast("array<string>")})
 
 
-@query()
+#: The tree that the pattern of `_numbered` makes, written down: k. at the top, k.1 below it, two paragraphs below that, and the pair of amendments of every eight parts in a container of its own.
+_TREE = f"""{_MERGED}, a AS (SELECT *, CAST(part % 8 AS INTEGER) AS m, CASE WHEN part % 4 = 0 THEN (part // 4 + 1) || '.' WHEN part % 4 = 1 THEN (part // 4 + 1) || '.1' ELSE '' END AS numbering, count(*) OVER (PARTITION BY doc_id) AS n FROM parts),
+l AS (SELECT *, left(trim(numbering || ' ' || text, ' ' || chr(9) || chr(13) || chr(12)), 60) AS label, m >= 6 AND part - m + 7 < n AS boxed FROM a),
+x AS (SELECT *, lag(label, 1) OVER w AS l1, lag(label, 2) OVER w AS l2, lag(label, 3) OVER w AS l3, 1 + part + (part + 2) // 8 - CASE WHEN m >= 6 AND NOT boxed THEN 1 ELSE 0 END AS "order" FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
+tree AS (
+  SELECT doc_id, 0 AS "order", CAST(NULL AS BIGINT) AS up, 0 AS depth, '' AS breadcrumb, '' AS numbering, 'document' AS type, 0 AS children FROM x WHERE part = 0
+  UNION ALL SELECT doc_id, "order" - 1, 0, 1, 'document', '', 'amendment', 2 FROM x WHERE m = 6 AND boxed
+  UNION ALL SELECT doc_id, "order", CASE m WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 3 THEN "order" - 2 WHEN 6 THEN CASE WHEN boxed THEN "order" - 1 ELSE 0 END WHEN 7 THEN "order" - 2 ELSE "order" - 1 END,
+    CASE m WHEN 0 THEN 1 WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN CASE WHEN boxed THEN 2 ELSE 1 END WHEN 7 THEN 2 ELSE 3 END,
+    CASE m WHEN 0 THEN 'document' WHEN 4 THEN 'document' WHEN 1 THEN 'document / ' || l1 WHEN 5 THEN 'document / ' || l1 WHEN 2 THEN 'document / ' || l2 || ' / ' || l1 WHEN 3 THEN 'document / ' || l3 || ' / ' || l2 ELSE CASE WHEN boxed THEN 'document / Изменения к документу' ELSE 'document' END END,
+    numbering, 'paragraph', 0 FROM x)"""
+_IDENT = "substr(sha256(doc_id || '|' || {}), 1, 32)"
+
+
+@query(f"""WITH {_TREE} SELECT doc_id, CAST("order" AS INTEGER) AS "order", {_IDENT.format('"order"')} AS id, CASE WHEN up IS NOT NULL THEN {_IDENT.format("up")} END AS parent_id, CASE WHEN "order" > 0 THEN {_IDENT.format('("order" - 1)')} END AS prev_id,
+  CASE WHEN lead("order") OVER (PARTITION BY doc_id ORDER BY "order") IS NOT NULL THEN {_IDENT.format('("order" + 1)')} END AS next_id, depth, breadcrumb, numbering, type FROM tree""")
 def hierarchy_flatten(spark, sf_dir):
     return structure.hierarchy(_numbered(spark, sf_dir)).select("doc_id", "order", "id", "parent_id", "prev_id", "next_id", "depth", "breadcrumb", "numbering", "type")
 
 
-@query()
+@query(f"""WITH {_TREE} SELECT doc_id, CAST("order" AS INTEGER) AS "order", children FROM tree WHERE type = 'amendment'""")
 def amendment_groups(spark, sf_dir):
     return structure.hierarchy(_numbered(spark, sf_dir)).where("type = 'amendment'").select("doc_id", "order", F.size("child_ids").alias("children"))
 
@@ -662,9 +736,11 @@ def dead_letters(spark, sf_dir):
     return outcome(e, F.col("attempts") == 9).where("status = 'dead'").select("seq", F.col("event_type").alias("model"))
 
 
-@query("SELECT user_id, min(event_id) AS seq FROM events GROUP BY user_id")
+@query("SELECT user_id, min(event_id) AS seq, arg_min(event_type, event_id) AS model FROM events GROUP BY user_id")
 def outbox_fifo_head(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("seq"))
+    from codexa.streaming.outbox import heads
+
+    return heads(corpus.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("model")), "user_id")
 
 
 @query(f"WITH {NODES_SQL}, i AS (SELECT 'u' || u AS user_id, 'p' || p AS project_id FROM range(3) a(u), range(5) b(p)) SELECT i.user_id, i.project_id, count(nodes.id) AS document_count FROM i LEFT JOIN nodes USING (user_id, project_id) GROUP BY ALL")

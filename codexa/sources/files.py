@@ -184,8 +184,12 @@ def direct_fragments(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def logs(spark: SparkSession, path: str, day: str | None = None, request_id: str | None = None) -> DataFrame:
     """Log lines (timestamp, level, logger, event, request_id, line); lines that aren't JSON pass only if nothing is filtered."""
-    t = spark.read.text(path).withColumnRenamed("value", "line")
-    out = t.select(F.from_json("line", "timestamp string, level string, logger string, event string, request_id string").alias("j"), "line").select("j.*", "line")
+    return log_lines(spark.read.text(path).withColumnRenamed("value", "line"), day, request_id)
+
+
+def log_lines(lines: DataFrame, day: str | None = None, request_id: str | None = None) -> DataFrame:
+    """The same from a table (line)."""
+    out = lines.select(F.from_json("line", "timestamp string, level string, logger string, event string, request_id string").alias("j"), "line").select("j.*", "line")
     if day is not None:
         out = out.where(F.col("timestamp").startswith(day))
     if request_id is not None:
