@@ -10,9 +10,11 @@ from codexa.functions.identity import clause, designations, normalize_designatio
 
 def extract(nodes: DataFrame) -> DataFrame:
     """(doc_id, id, raw, target_name, target_numbering): the designations a text names, each with the clause named in the stretch before it, after the designation before."""
-    each = nodes.select("doc_id", "id", "text", F.posexplode(designations(F.col("text"))).alias("_k", "target_name"))
-    before = F.substring_index(F.substring_index("text", F.col("target_name"), 1), ".  ", -1)
-    num = clause(F.substring(before, -40, 40))
+    each = nodes.select("doc_id", "id", "text", designations(F.col("text")).alias("_all")).select("*", F.posexplode("_all").alias("_k", "target_name"))
+    upto = F.expr("substring_index(text, target_name, 1)")
+    before = F.when(F.col("_k") > 0, F.expr("substring_index(substring_index(text, target_name, 1), try_element_at(_all, _k), -1)")).otherwise(upto)
+    num = clause(F.expr("right(_before, 40)"))
+    each = each.withColumn("_before", before)
     return each.select("doc_id", "id", F.concat_ws(" ", num, F.col("target_name")).alias("raw"), "target_name", F.coalesce(num, F.lit("")).alias("target_numbering"))
 
 

@@ -79,10 +79,11 @@ def embedded(embedder: Embedder, batch: int = 32) -> Callable[[Column], Column]:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             real = s.dropna()
-            out: list[list[float]] = []
+            out: dict[int, list[float]] = {}
             for i in range(0, len(real), batch):
-                out += embedder.embed(real.iloc[i : i + batch].tolist())
-            yield pd.Series(out, index=real.index, dtype=object).reindex(s.index)
+                part = real.iloc[i : i + batch]
+                out.update(zip(part.index, embedder.embed(part.tolist()), strict=True))
+            yield pd.Series([out.get(i) for i in s.index], index=s.index, dtype=object)
 
     return run
 

@@ -188,8 +188,8 @@ def logs(spark: SparkSession, path: str, day: str | None = None, request_id: str
 
 
 def log_lines(lines: DataFrame, day: str | None = None, request_id: str | None = None) -> DataFrame:
-    """The same from a table (line)."""
-    out = lines.select(F.from_json("line", "timestamp string, level string, logger string, event string, request_id string").alias("j"), "line").select("j.*", "line")
+    """The same from a table (line); its other columns stay."""
+    out = lines.select(F.from_json("line", "timestamp string, level string, logger string, event string, request_id string").alias("j"), "*").select("j.*", *lines.columns)
     if day is not None:
         out = out.where(F.col("timestamp").startswith(day))
     if request_id is not None:
