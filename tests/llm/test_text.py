@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from codexa.llm import decontaminate as dc
@@ -200,3 +201,29 @@ def test_packing_awkward_rows(spark):
         assert s[0][0] == 0 and s[-1][1] <= 1000 and all(a[1] == b[0] for a, b in zip(s, s[1:]))  # noqa: B905
     again = packing.packed(awkward(spark).repartition(5), capacity=1000).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again)) and packing.packed(none_of(spark)).count() == 0
+
+
+def test_rows_without_ids_are_spread_over_shards(spark):
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")), F.col("id").cast("string")).alias("text"))
+    out = packing.packed(docs, capacity=256, shard_rows=1000)
+    shards = out.groupBy((F.col("bin").bitwiseAND(~((1 << 32) - 1))).alias("shard")).count().collect()
+    assert len(shards) == 30 and max(r["count"] for r in shards) < 1500
+    assert out.groupBy("bin").agg(F.sum("size").alias("n"), F.count_distinct("bin_start").alias("k"), F.count("*").alias("m")).where("n > 256 or k <> m").isEmpty()
+
+
+def test_limits_by_definition(spark):
+    """The limit of each language is the quantile that parts good from other rows best, by the definition."""
+    r = random.Random(9)
+    rows = [(lang, good, r.gauss(3 if good else shift, 1)) for lang, shift in (("en", 5), ("de", 3.5), ("fr", 8)) for good in (True, False) for _ in range(60 if good else 30)] + [("es", True, 2.0), ("es", False, 9.0)]
+    own, whole = quality_lm.limits(spark.createDataFrame(rows, "lang string, _good boolean, p double"), "p")
+
+    def best(some):
+        good, other = [v for _, g, v in some if g], [v for _, g, v in some if not g]
+        tries = [float(np.quantile(good, q)) for q in quality_lm.QUANTILES]
+        return max((sum(v > t for v in other) / len(other) - quality_lm.COST * sum(v > t for v in good) / len(good), t) for t in tries)[1]
+
+    assert set(own) == {"en", "de", "fr"}
+    for lang, limit in own.items():
+        assert limit == pytest.approx(best([x for x in rows if x[0] == lang]))
+    assert whole == pytest.approx(best(rows))
+    assert quality_lm.limits(spark.createDataFrame(rows[:0], "lang string, _good boolean, p double"), "p") == ({}, None)
