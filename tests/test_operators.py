@@ -233,3 +233,25 @@ def test_markup_by_rules(spark):
             raise ValueError
 
     assert {r["type"] for r in structure.tagged(parts, Broken()).collect()} == {"paragraph"}
+
+
+def test_load_and_update_in_one_call(spark):
+    from codexa.operators import ingest
+
+    make = lambda doc, texts: spark.createDataFrame([(doc, k, t, "NarrativeText", None) for k, t in enumerate(texts)], "doc_id string, block_idx int, text string, category string, html string")
+    head = lambda doc, name, version: spark.createDataFrame([(doc, name, version, "en")], "doc_id string, name string, version string, lang string")
+    old = ["1 Scope of rules", "1.1 The first rule, see п.4.2 СП 55.13330.2016", "1.2 The second rule."]
+    blocks, docs = make("d1", old), head("d1", "СП 1.1.2020", None)
+    nodes = ingest.load(blocks, docs, "2024-01-01T00:00:00", embed=providers.embedded(providers.HashEmbedder(4)))
+    rows = nodes.orderBy("order").collect()
+    assert [(r["text"], r["type"], r["version"], r["depth"]) for r in rows] == [("СП 1.1.2020", "document", "2020", 0), (old[0], "chapter", "2020", 1), (old[1], "section", "2020", 2), (old[2], "section", "2020", 2)]
+    assert schema.check(nodes, 4).isEmpty() and {r["content_hash"] for r in rows} == {hashlib.sha256("\n".join(old).encode()).hexdigest()}
+    assert [(x["raw"], x["target_name"], x["target_numbering"], x["resolved"]) for x in rows[2]["references"]] == [("4.2 СП 55.13330.2016", "СП 55.13330.2016", "4.2", False)]
+    assert (rows[1]["char_start"], rows[1]["char_end"], rows[2]["src_block_ids"], rows[1]["lookup_keys"]) == (0, len(old[0]), [1], ["сп_1_1_2020"])
+    new = [old[0], "1.1 The first rule was changed.", old[2], "1.3 A third rule."]
+    after, editions, actions = ingest.update(nodes, ingest.block_editions(blocks, docs), make("d2", new), head("d2", "СП 1.1.2020", "2024"), "2024-02-02T00:00:00", embed=providers.embedded(providers.HashEmbedder(4)))
+    got = {r["text"]: r["versions"] for r in after.collect() if r["type"] != "document"}
+    assert got == {old[0]: ["2020", "2024"], old[1]: ["2020"], old[2]: ["2020", "2024"], new[1]: ["2024"], new[3]: ["2024"]}
+    assert [len(r["hashes"]) for r in editions.collect()] == [4] and actions.where("action = 'insert'").count() == 2
+    by = {r["text"]: r for r in after.collect()}
+    assert by[new[1]]["parent_id"] == by[old[0]]["id"] and by[new[1]]["next_id"] == by[old[2]]["id"]
