@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 class Counter(dict):
     """Unit -> its steps, one byte a character (None if one doesn't fit); worked out at first use, forgotten when there are too many."""
 
-    def __init__(self, vocabulary: str):
-        with open(vocabulary, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: str | bytes):
+        lines = (Path(vocabulary).read_bytes() if isinstance(vocabulary, str) else vocabulary).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.longest = max(map(len, self.ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
@@ -136,10 +137,10 @@ _SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x20
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(vocabulary: str) -> Counter:
-    """The vocabulary's counter, kept between a worker's tasks."""
+def counter(vocabulary: str, data: bytes | None = None) -> Counter:
+    """The vocabulary's counter, kept between a worker's tasks; from its data, or else from its file."""
     if vocabulary not in _COUNTERS:
-        _COUNTERS[vocabulary] = Counter(vocabulary)
+        _COUNTERS[vocabulary] = Counter(vocabulary if data is None else data)
     return _COUNTERS[vocabulary]
 
 
@@ -158,9 +159,9 @@ def chars_within(steps: bytes, budget: int, wide: bool = False) -> int:
     return int(np.flatnonzero(counts_of(steps, wide) <= budget)[-1]) if budget >= 0 else 0
 
 
-def _counted(vocabulary: str, budgets: tuple[int, ...]):
+def _counted(vocabulary: str, shared, budgets: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary)
+        c = counter(vocabulary, shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -185,7 +186,9 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, chars long, tokens long, " + "".join(f"chars_in_{b} long, " for b in budgets) + "steps binary, wide boolean"
-    return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(_counted(vocabulary, tuple(budgets)), schema)
+    # read on the driver and sent along: executors need no file of their own
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(_counted(vocabulary, shared, tuple(budgets)), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
