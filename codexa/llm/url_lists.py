@@ -2,7 +2,7 @@
 
 A list is a log of dated entries: (list, kind, value, action, at). kind `domain` covers a host and all below it, `host` one host, `prefix` a host and leading path segments (`host/a/b`). Each `add` is valid from its time up to, not including, the next entry of the same list, kind and value, whichever its action. A capture is joined as of its fetch time with every interval that one of its keys falls into; an active entry of a list called `allow...` wins over all others.
 
-The equi-join is on (kind, value). The intervals are broadcast if they are `broadcast_rows` or fewer, else shuffled; keys with fewer labels than any entry of their kind has (`com`, which every capture would bring) are dropped before. Only captures with a hit take part in the aggregation, whose rows are written to the shared folder and broadcast in their turn if they are few, so that the captures themselves move only if neither bound holds.
+The equi-join is on (kind, value). The intervals are broadcast if they are `broadcast_rows` or fewer, else shuffled; keys with fewer labels than any entry of their kind has (`com`, which every capture would bring) are dropped before. Only captures with a hit take part in the aggregation, whose rows are written to the shared folder and broadcast in their turn if they are a quarter as many or fewer, so that the captures themselves move only if neither bound holds.
 
 Defined cases. Null or malformed URL (no scheme or host): no host, never listed. Null fetch time: no entry is active. Entries null in any column, or of another action or kind: ignored. Entries of one instant: `remove` follows `add`, so the value is off. Repeated entries change nothing; repeated captures are each returned. Schemes and hosts are matched in lower case, paths as they are, empty path segments don't count; user names, ports, queries and fragments are left out, as is a dot at the host's end. Other columns of the captures stay, and a result column whose name is taken gets underscores.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from codexa.llm._base import fresh, prepare, small, stored
 
-BROADCAST_ROWS = 2_000_000
+#: Intervals that are broadcast at most, some 150 bytes each; of captures with a hit, whose URLs are longer, a quarter as many.
+BROADCAST_ROWS = 400_000
 #: The tables hold no fetch time: captures are spread over the minutes of a year by their number.
 FETCHED = "timestamp_seconds(1704067200 + pmod(page_id * 7919, 525600) * 60)"
 
@@ -77,7 +78,7 @@ def evaluated(captures: DataFrame, log: DataFrame, fetched_at: str, broadcast_ro
     hit = keyed.select("url", "t", "key.*").where(enough).join(spans, ["kind", "value"]).where("t >= valid_from and (valid_to is null or t < valid_to)")
     u, t = fresh([*names, host, when], "hit_url"), fresh([*names, host, when], "hit_time")
     found = hit.groupBy(F.col("url").alias(u), F.col("t").alias(t)).agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias(lists), F.when(F.bool_or(F.col("list").startswith("allow")), "allow").otherwise("block").alias(verdict))
-    found = small(stored(found, "hits"), broadcast_rows)
+    found = small(stored(found, "hits"), broadcast_rows // 4)
     out = seen.join(found, (seen["url"] == found[u]) & (seen[when] == found[t]), "left")
     return out.select(*names, host, when, F.coalesce(lists, F.lit("")).alias(lists), F.coalesce(verdict, F.lit("none")).alias(verdict))
 
