@@ -2,7 +2,7 @@
 
 For every document one array holds, for each number of characters p, how far the token count of the first p characters is above that of the first p - 1. It answers how many tokens any prefix has, where a text must be cut to fit a budget, and how many tokens lie between two cuts, without encoding again.
 
-Within a pre-token, the encoding of a prefix of i bytes ends in the one vocabulary token t for which the encoding of the first i - len(t) bytes ends in a token that may stand before t, that is, for which the pair encodes to itself. So one pass gives the count of every prefix. Pre-tokens never cross from a non-space into a space, so a text is a row of units (white space and the non-space run after it) whose counts add up; each distinct unit is worked out once and kept.
+Within a pre-token, the encoding of a prefix of i bytes ends in the one vocabulary token t for which the encoding of the first i - len(t) bytes ends in a token that may stand before t, that is, for which the pair encodes to itself. So one pass gives the count of every prefix; an automaton over the vocabulary names the tokens that end at each byte, so no other stretch of it is looked up. Pre-tokens never cross from a non-space into a space, so a text is a row of units (white space and the non-space run after it) whose counts add up; each distinct unit is worked out once and kept.
 
 Defined cases. Null text: all results null. Empty text: 0 tokens, an empty array. Texts and units of any length are covered whole. Special tokens' strings are ordinary text. Rows are never merged; nulls and repeats in doc_id, and other columns, don't matter. An array's items have 1 byte, or 8 where a step in the document doesn't fit one (`wide`).
 """
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
+from operator import sub
 from pathlib import Path
 
 import numpy as np
@@ -31,6 +33,26 @@ _KEPT = 200_000
 _CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 
 
+class State(dict):
+    """The longest tail of the bytes read that begins a token (`tail`), and the tokens that end with it, longest first (`ends`: rank and length); byte -> the state after it, worked out at first use."""
+
+    __slots__ = ("counter", "ends", "tail")
+
+    def __init__(self, counter: Counter, tail: bytes):
+        self.counter, self.tail = counter, tail
+        self.ends = [(counter.ranks[t], len(t)) for k in range(len(tail)) if (t := tail[k:]) in counter.ranks]
+
+    def __missing__(self, byte: int) -> State:
+        c, tail = self.counter, self.tail + bytes((byte,))
+        while tail not in c.begins:
+            tail = tail[1:]
+        if tail not in c.states:
+            c.states[tail] = State(c, tail)
+        c.moves += 1
+        found = self[byte] = c.states[tail]
+        return found
+
+
 class Counter(dict):
     """Unit -> its steps, one byte a character (None if one doesn't fit); worked out at first use, forgotten when there are too many."""
 
@@ -38,55 +60,74 @@ class Counter(dict):
         lines = (Path(vocabulary).read_bytes() if isinstance(vocabulary, str) else vocabulary).splitlines()
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.longest = max(map(len, self.ranks))
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.tokens = {b: a for a, b in self.ranks.items()}
+        self.begins = {t[:k] for t in self.ranks for k in range(len(t) + 1)}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.heads: dict[bytes, tuple[list[bytes], list[int]]] = {}
         self.pretokens = regex.compile(PATTERN)
+        self.restart()
 
-    def follows(self, a: bytes, b: bytes) -> bool:
+    def restart(self) -> None:
+        """Forgets the states, and the beginnings of words that end in them."""
+        self.states: dict[bytes, State] = {}
+        self.moves = 0
+        self.start = State(self, b"")
+        self.heads: dict[bytes, tuple[list[int], list[int], State]] = {}
+
+    def follows(self, a: int, b: int) -> bool:
         """Whether the tokens a and b, put together, encode to themselves."""
         if len(self.pairs) > 2 * _KEPT:
             self.pairs.clear()
-        known = self.pairs[a, b] = self.encoding._encode_single_piece(a + b) == [self.ranks[a], self.ranks[b]]
+        known = self.pairs[a << 32 | b] = self.encoding._encode_single_piece(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
+    def read(self, data: bytes, last: list[int], count: list[int], state: State) -> State:
+        """Goes on by data: last and count have the last token and the number of tokens of each prefix so far, state is that of the longest."""
+        pairs = self.pairs
+        for i, byte in enumerate(data, len(last)):
+            state = state[byte]
+            for t, size in state.ends:
+                j = i - size
+                if j:
+                    ok = pairs.get(last[j] << 32 | t)
+                    if ok is None:
+                        ok = self.follows(last[j], t)
+                    if not ok:
+                        continue
+                last.append(t)
+                count.append(count[j] + 1)
+                break
+        return state
+
+    def word(self, text: str) -> list[int]:
+        """Counts at each character's end within one pre-token that is no contraction."""
+        data = text.encode()
+        n, head = len(data), data[:6]
+        known = self.heads.get(head)
+        if known is None:  # words share their beginnings, and so the work for them
+            if self.moves > 2 * _KEPT or 2 * len(self.heads) > _KEPT:
+                self.restart()
+            last, count = [0], [0]
+            known = self.heads[head] = last, count, self.read(head, last, count, self.start)
+        count = known[1]
+        if n > 6:
+            count = count.copy()
+            self.read(data[6:], known[0].copy(), count, known[2])
+        if n == len(text):
+            return count[1:]
+        return [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
+
     def piece(self, text: str) -> list[int]:
         """Counts at each character's end within one pre-token."""
+        if text[-1].isalpha() and text[0] != "'":  # words are kept as units
+            return self.word(text)
         if (known := self.pieces.get(text)) is not None:
             return known
         if _CONTRACTION.fullmatch(text):
             counts = [len(self.encoding.encode_ordinary(text[: k + 1])) for k in range(len(text))]
         else:
-            data = text.encode()
-            n, ranks, longest, pairs = len(data), self.ranks, self.longest, self.pairs
-            if known := self.heads.get(data[:6]):  # words share their beginnings, and so the work for them
-                last, count = known[0].copy(), known[1].copy()
-            else:
-                last, count = [b""], [0]
-            for i in range(len(last), n + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    t = data[j:i]
-                    if t in ranks:
-                        if j:
-                            before = last[j]
-                            ok = pairs.get((before, t))
-                            if ok is None:
-                                ok = self.follows(before, t)
-                            if not ok:
-                                continue
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
-            if not known and n >= 6:
-                if 2 * len(self.heads) > _KEPT:
-                    self.heads.clear()
-                self.heads[data[:6]] = (last[:7], count[:7])
-            if n == len(text):
-                counts = count[1:]
-            else:
-                counts = [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
-        if len(text) < 200 and not text[-1].isalpha():  # words are kept as units
+            counts = self.word(text)
+        if len(text) < 200:
             if len(self.pieces) > _KEPT:
                 self.pieces.clear()
             self.pieces[text] = counts
@@ -96,9 +137,9 @@ class Counter(dict):
         """Counts at each character's end within one unit."""
         word = unit[1:] if unit[0] == " " else unit
         if word.isalpha():  # by far the most: one pre-token, with the space before it
-            return self.piece(unit)
+            return self.word(unit)
         if word[:-1].isalpha() and word[-1] in ".,;:":
-            here = self.piece(unit[:-1])
+            here = self.word(unit[:-1])
             return [*here, here[-1] + 1]
         m = len(unit) - len(unit.lstrip(_SPACES))
         if m == len(unit):
@@ -114,9 +155,14 @@ class Counter(dict):
         return out
 
     def __missing__(self, unit: str) -> bytes | None:
-        c = self.counts(unit)
-        step = [b - a for a, b in zip([0, *c], c)]  # noqa: B905
-        found = bytes([x & 0xFF for x in step]) if -128 <= min(step) and max(step) <= 127 else None
+        if unit[-1] in ".,;:" and unit[-2:-1].isalpha() and (known := self.get(unit[:-1])):
+            found = known + b"\1"  # one token more, whatever stands before the letter
+        else:
+            c = self.counts(unit)
+            try:
+                found = array("b", map(sub, c, [0, *c])).tobytes()
+            except OverflowError:
+                found = None
         if len(unit) < 200:
             if len(self) > 2 * _KEPT:
                 self.clear()

@@ -136,6 +136,40 @@ def test_every_prefix_as_encoded():
             assert token_prefix.chars_within(steps.tobytes(), budget, wide) == max(p for p in range(len(t) + 1) if got[p] <= budget)
 
 
+def test_new_words_need_few_look_ups():
+    """Words not met before, every prefix of each, need less than one look-up in the vocabulary a byte."""
+
+    class Watched(dict):
+        seen = 0
+
+        def __contains__(self, key):
+            self.seen += 1
+            return super().__contains__(key)
+
+    r = random.Random(6)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "tion", "ing", "ble", "ly", "ou"]
+    fresh = list(dict.fromkeys(" " + "".join(r.choice(syllables) for _ in range(r.randint(3, 6))) for _ in range(30_000)))
+    c = token_prefix.Counter(token_prefix.VOCABULARY)
+    c.steps("".join(fresh[:20_000]))
+    c.ranks = Watched(c.ranks)
+    rest = "".join(fresh[20_000:])
+    c.steps(rest)
+    assert len(rest) > 50_000 and c.ranks.seen < len(rest)
+
+
+def test_long_tokens_and_forgetting(monkeypatch):
+    """Tokens of any length, broken off and put together, with caches so small that all is forgotten again and again."""
+    monkeypatch.setattr(token_prefix, "_KEPT", 40)
+    c = token_prefix.Counter(token_prefix.VOCABULARY)
+    r = random.Random(7)
+    tokens = [t.decode(errors="ignore") for t in sorted(c.ranks, key=len)]
+    texts = [*tokens[-40:], *["".join(x[: r.randint(1, len(x))] for x in r.choices(tokens[256:], k=4) if x) for _ in range(300)], *[w + e for w in ("don't", " naïve", "'s", "\nword", "  x") for e in ".,;:"]]
+    for t in texts:
+        steps, wide = c.steps(t)
+        assert token_prefix.counts_of(steps.tobytes(), wide).tolist() == [len(c.encoding.encode_ordinary(t[:p])) for p in range(len(t) + 1)], t
+        assert c.steps(t)[0].tobytes() == steps.tobytes()
+
+
 def test_token_counts_awkward_rows(spark):
     c = token_prefix.counter(token_prefix.VOCABULARY)
     out = token_prefix.prefix_counts(awkward(spark)).collect()
