@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexa.functions.identity import numbering_rank, span_id
-from codexa.functions.text import boundary, numbered_head, segments
+from codexa.functions.text import boundary, inline_split, numbered_head, segments
 from codexa.providers import Markup, RuleMarkup
 
 SKIPPED = ("Footer", "Header", "PageBreak")
@@ -19,9 +19,9 @@ WINDOW_CHARS, WINDOW_ITEMS, OVERLAP = 6000, 22, 3
 AMENDMENTS = "Изменения к документу"
 
 
-def raw_blocks(blocks: DataFrame) -> DataFrame:
-    """Extracted elements without page furniture and blank texts, renumbered."""
-    kept = blocks.where(~F.col("category").isin(*SKIPPED) & F.col("text").rlike(r"\S"))
+def raw_blocks(blocks: DataFrame, some: str = r"\S") -> DataFrame:
+    """Extracted elements without page furniture and blank texts (without a match of `some`), renumbered."""
+    kept = blocks.where(~F.col("category").isin(*SKIPPED) & F.col("text").rlike(some))
     return kept.withColumn("block_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx")) - 1)
 
 
@@ -31,9 +31,9 @@ def bounding_box(points: Column) -> Column:
     return F.when(F.size(points) > 0, F.array(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
 
 
-def split_segments(blocks: DataFrame, sentences: bool = True) -> DataFrame:
+def split_segments(blocks: DataFrame, sentences: bool = True, split: Callable[[Column], Column] = inline_split) -> DataFrame:
     """(doc_id, seg, src, text, category, html): a document's segments in order."""
-    each = blocks.select("doc_id", "block_idx", "category", "html", F.posexplode(segments(F.col("text"), F.col("category"), sentences)).alias("_k", "text"))
+    each = blocks.select("doc_id", "block_idx", "category", "html", F.posexplode(segments(F.col("text"), F.col("category"), sentences, split=split)).alias("_k", "text"))
     seg = F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx", "_k")) - 1
     return each.select("doc_id", seg.alias("seg"), F.col("block_idx").alias("src"), "text", "category", F.when(F.col("category") == "Table", F.col("html")).alias("html"))
 
