@@ -87,38 +87,52 @@ def topk(nodes: DataFrame, query: Sequence[float], limit: int | None = None, whe
     return scored.orderBy(F.desc("score"), "id").limit(limit or LIMIT)
 
 
-BLOCK = 2048
+#: Queries that are broadcast at a time; scores, and nodes that may be among the best, that a worker holds at a time.
+BLOCK, SCORES = 2048, 1 << 18
 
 
 def _best(shared, limit: int):
-    """(id, embedding) -> (query_id, id, score): each query's best of a partition."""
+    """(id, embedding) -> (query_id, id, score): each query's best of a partition. A worker holds SCORES scores at a time, of which only those not below a query's last best are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # query, score, id of the best so far
-        kind = None
-        for batch in batches:
-            lists = batch.column(1)
-            fits = np.flatnonzero(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1])
-            if not len(fits):
-                continue
-            batch = batch.take(pa.array(fits))
-            x = batch.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
-            kind, own = batch.schema.field(0).type, batch.column(0).to_numpy(zero_copy_only=False)
-            own = own.astype(str) if own.dtype == object else own
-            norm = np.sqrt((x * x).sum(axis=1))
-            some = np.flatnonzero((norm > 0) & np.isfinite(norm))
-            score = np.round((x[some] / norm[some, None]) @ q.T, 12).T  # queries x nodes
-            new = (np.repeat(np.arange(len(q)), len(some)), score.ravel(), np.tile(own[some], len(q)))
-            if held is not None:
-                new = tuple(np.concatenate(z) for z in zip(held, new, strict=True))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, score, id of the best so far, and of those that came since
+        floor, since, kind = np.full(len(q), -np.inf), 0, None
+        rows = max(1, SCORES // len(q))
+
+        def merge() -> None:
+            new = tuple(np.concatenate(z) for z in zip(*held, strict=True))
             order = np.lexsort((new[2], -new[1], new[0]))
             query = new[0][order]
             place = np.arange(len(order)) - np.searchsorted(query, query)
+            last = order[place == limit - 1]
+            floor[new[0][last]] = new[1][last]
             order = order[place < limit]
-            held = tuple(z[order] for z in new)
-        if held is not None:
-            yield pa.record_batch([ids.take(pa.array(held[0])), pa.array(held[2], kind), pa.array(held[1])], names=["query_id", "id", "score"])
+            held[:] = [tuple(z[order] for z in new)]
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            fits = np.flatnonzero(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1])
+            for lo in range(0, len(fits), rows):
+                part = batch.take(pa.array(fits[lo : lo + rows]))
+                x = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                own = own.astype(str) if own.dtype == object else own
+                norm = np.sqrt((x * x).sum(axis=1))
+                some = np.flatnonzero((norm > 0) & np.isfinite(norm))
+                score = np.round((x[some] / norm[some, None]) @ q.T, 12)  # nodes x queries
+                node, query = np.nonzero(~(score < floor))
+                held.append((query, score[node, query], own[some[node]]))
+                since += len(node)
+                if since >= SCORES:
+                    merge()
+                    since = 0
+        if held:
+            merge()
+            query, score, own = held[0]
+            for lo in range(0, len(query), SCORES):
+                at = slice(lo, lo + SCORES)
+                yield pa.record_batch([ids.take(pa.array(query[at])), pa.array(own[at], kind), pa.array(score[at])], names=["query_id", "id", "score"])
 
     return run
 
