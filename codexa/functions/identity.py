@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def stripped(c: Column) -> Column:
-    """Without white space, Unicode's included, at both ends; null as empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Without white space, Unicode's included, at both ends; null as empty. Only a text with some at an end is searched."""
+    x = F.coalesce(c, F.lit(""))
+    ends = F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
 
 
 def collapsed(c: Column) -> Column:

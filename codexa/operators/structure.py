@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexa.functions.identity import numbering_rank, span_id
-from codexa.functions.text import boundary, inline_split, numbered_head, segments
+from codexa.functions.identity import numbering_rank, span_id, stripped
+from codexa.functions.text import boundary_of, inline_split, numbered_head, segments
 from codexa.providers import Markup, RuleMarkup
 
 SKIPPED = ("Footer", "Header", "PageBreak")
@@ -41,8 +43,10 @@ def split_segments(blocks: DataFrame, sentences: bool = True, split: Callable[[C
 def boundaries(segs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """segs with boundary: new or continuation; what the rule leaves open is decided by (doc_id, seg, decision), new by default."""
     w = Window.partitionBy("doc_id").orderBy("seg")
-    rule = F.when(F.lag("seg").over(w).isNull(), "new").otherwise(boundary(F.lag("text").over(w), F.col("text"), F.lag("category").over(w), F.col("category")))
-    out = segs.withColumn("boundary", rule)
+    own = segs.withColumn("_c", stripped(F.col("text")))
+    before = own.withColumns({"_s": F.lag("seg").over(w), "_p": F.coalesce(F.lag("_c").over(w), F.lit("")), "_k": F.lag("category").over(w)})
+    rule = F.when(F.col("_s").isNull(), "new").otherwise(boundary_of(F.col("_p"), F.col("_c"), F.col("_k"), F.col("category")))
+    out = before.withColumn("boundary", rule).drop("_c", "_s", "_p", "_k")
     if decisions is None:
         return out.withColumn("boundary", F.when(F.col("boundary") == "uncertain", "new").otherwise(F.col("boundary")))
     d = decisions.select(F.col("doc_id").alias("_d"), F.col("seg").alias("_s"), "decision")
@@ -122,10 +126,17 @@ def tagged(parts: DataFrame, markup: Markup | None = None) -> DataFrame:
                     best[a + pos] = (pos, x)
         return [best[k][1] if k in best else ("paragraph", "", "deeper", "main", []) for k in range(len(texts))]
 
-    @F.pandas_udf("array<struct<type:string,numbering:string,relation:string,block:string,tags:array<string>>>")
-    def run(s: pd.Series) -> pd.Series:
-        names = ("type", "numbering", "relation", "block", "tags")
-        return s.map(lambda xs: [dict(zip(names, x, strict=True)) for x in read(list(xs))])
+    @F.arrow_udf("array<struct<type:string,numbering:string,relation:string,block:string,tags:array<string>>>")
+    def run(s: pa.Array) -> pa.Array:
+        at, found = [0], ([], [], [], [], [])
+        for xs in s:
+            for x in read(xs.as_py()):
+                for column, value in zip(found, x, strict=True):
+                    column.append(value)
+            at.append(len(found[0]))
+        kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+        each = pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds, strict=True)], ["type", "numbering", "relation", "block", "tags"])
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), each)
 
     base = ("part", "text", "category", "html", "src_ids")
     docs = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*base))).alias("ps"))
@@ -178,21 +189,19 @@ def flatten_unnumbered(children: dict[int, list[int]], ranked: Sequence[bool], m
     return new
 
 
-def tree(doc, parts: list[dict], title: str = "document", most: int = 1) -> list[dict]:
-    """A document's parts (text, numbering, rank, relation, block, type, category, html, src_ids, tags, in order) as nodes in reading order, root first."""
-    ranks = [p["rank"] for p in parts]
-    parent, _ = depths(ranks, [p["relation"] for p in parts])
+def shape(ranks: Sequence[int | None], relations: Sequence[str], blocks: Sequence[str], most: int = 1) -> tuple[list[tuple[int, int | None, int]], dict[int, list[int]]]:
+    """(node, parent, depth) in reading order, and the children: 0 is the root, k + 1 part k, what is beyond the parts a container of amendments."""
+    parent, _ = depths(ranks, relations)
     children: dict[int, list[int]] = {}
     for k, p in enumerate(parent, 1):
         children.setdefault(p, []).append(k)
     children = flatten_unnumbered(children, [True, *[r is not None for r in ranks]], most)
-    blocks = ["main", *[p["block"] for p in parts]]
     # runs of two or more amendments at the top go into a container
     top, grouped, k = children.get(0, []), [], 0
-    extra = len(blocks)
+    extra = len(blocks) + 1
     while k < len(top):
         j = k
-        while j < len(top) and blocks[top[j]] == "amendment":
+        while j < len(top) and blocks[top[j] - 1] == "amendment":
             j += 1
         if j - k >= 2:
             children[extra] = top[k:j]
@@ -202,32 +211,88 @@ def tree(doc, parts: list[dict], title: str = "document", most: int = 1) -> list
             grouped += top[k : max(j, k + 1)]
         k = max(j, k + 1)
     children[0] = grouped
+    return flattened(children), children
+
 
-    def of(node: int, c: str):
-        if node == 0:
-            return {"text": title, "type": "document"}.get(c)
-        if node > len(parts):
-            return {"text": AMENDMENTS, "type": "amendment"}.get(c)
-        return parts[node - 1][c]
+LINKS = ("order", "id", "depth", "parent_id", "parent_text", "breadcrumb", "child_ids", "prev_id", "next_id")
 
-    order = flattened(children)
-    ident = {n: hashlib.sha256(f"{doc}|{i}".encode()).hexdigest()[:32] for i, (n, _, _) in enumerate(order)}
+
+def links(doc, order: list[tuple[int, int | None, int]], children: dict[int, list[int]], numberings: Sequence[str | None], text: Callable[[int], str], title: str = "document") -> tuple[list, ...]:
+    """The columns LINKS of a document's nodes. text: a part's text, or enough of it for its first 300 characters and its label."""
+    n, total = len(numberings), len(order)
+    ident = [hashlib.sha256(f"{doc}|{i}".encode()).hexdigest()[:32] for i in range(total)]
+    of = {node: ident[i] for i, (node, _, _) in enumerate(order)}
     # a crumb is a link to the one above, so that a chain of thousands doesn't make a quadratic number of labels before they are cut
     trail: dict[int, str] = {0: ""}
+    below: dict[int, tuple[str, str]] = {}  # of a node with children the text and the breadcrumb that they show
+    texts, crumbs = [], []
+    for node, p, _ in order:
+        if p is None:
+            texts.append(None)
+        else:
+            if p not in below:
+                t = title if p == 0 else AMENDMENTS if p > n else text(p - 1)
+                label = f"{(numberings[p - 1] if 0 < p <= n else '') or ''} {t}".strip()[:60]
+                below[p] = t[:300], f"{trail[p]} / {label}" if trail[p] else label
+            t, trail[node] = below[p]
+            texts.append(t)
+        crumbs.append(trail[node])
+    parents = [None if p is None else of[p] for _, p, _ in order]
+    return list(range(total)), ident, [d for _, _, d in order], parents, texts, crumbs, [[of[c] for c in children.get(node, [])] for node, _, _ in order], [None, *ident[:-1]], [*ident[1:], None]
+
+
+def tree(doc, parts: list[dict], title: str = "document", most: int = 1) -> list[dict]:
+    """A document's parts (text, numbering, rank, relation, block, type, category, html, src_ids, tags, in order) as nodes in reading order, root first."""
+    order, children = shape([p["rank"] for p in parts], [p["relation"] for p in parts], [p["block"] for p in parts], most)
+    found = links(doc, order, children, [p["numbering"] for p in parts], lambda k: parts[k]["text"], title)
     rows = []
-    for i, (n, p, d) in enumerate(order):
-        if p is not None:
-            label = f"{of(p, 'numbering') or ''} {of(p, 'text')}".strip()[:60]
-            trail[n] = f"{trail[p]} / {label}" if trail[p] else label
-        table = of(n, "category") == "Table"
-        rows.append({
-            "doc_id": doc, "order": i, "id": ident[n], "text": of(n, "text"), "type": of(n, "type"), "kind": "table" if table else "text", "table_html": of(n, "html") if table else None, "numbering": of(n, "numbering") or "",
-            "block": blocks[n] if n < len(blocks) else "amendment", "depth": d, "src_ids": of(n, "src_ids") or [], "tags": of(n, "tags") or [], "parent_id": None if p is None else ident[p], "parent_text": None if p is None else of(p, "text")[:300],
-            "breadcrumb": trail[n], "child_ids": [ident[c] for c in children.get(n, [])], "prev_id": ident[order[i - 1][0]] if i else None, "next_id": ident[order[i + 1][0]] if i + 1 < len(order) else None,
-        })
+    for (n, _, _), link in zip(order, zip(*found, strict=True), strict=True):
+        own = {"text": title, "type": "document", "block": "main"} if n == 0 else {"text": AMENDMENTS, "type": "amendment", "block": "amendment"} if n > len(parts) else parts[n - 1]
+        table = own.get("category") == "Table"
+        rows.append({"doc_id": doc, "text": own["text"], "type": own["type"], "kind": "table" if table else "text", "table_html": own["html"] if table else None, "numbering": own.get("numbering") or "", "block": own["block"], "src_ids": own.get("src_ids") or [], "tags": own.get("tags") or []} | dict(zip(LINKS, link, strict=True)))
     return rows
 
 
+def _nodes(docs: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """(doc, parts) -> the nodes of all its documents. What a part brings is taken over without leaving Arrow."""
+    values, at = docs.column(1).flatten(), [0, *np.cumsum(docs.column(1).value_lengths().to_numpy(zero_copy_only=False)).tolist()]
+    part = {c: pc.struct_field(values, c) for c in ("text", "category", "html", "src_ids", "type", "numbering", "relation", "block", "tags", "rank")}
+    rank, relation, block, numbering = (part[c].to_pylist() for c in ("rank", "relation", "block", "numbering"))
+    heads = pc.utf8_slice_codeunits(part["text"], 0, 300).to_pylist()
+    doc, taken, found = [], [], tuple([] for _ in LINKS)
+    for k, name in enumerate(docs.column(0).to_pylist()):
+        lo, hi = at[k], at[k + 1]
+
+        def text(i: int, lo: int = lo) -> str:
+            head = heads[lo + i]
+            return head if len(head) < 300 or len(head.strip()) >= 60 else part["text"][lo + i].as_py()
+
+        order, children = shape(rank[lo:hi], relation[lo:hi], block[lo:hi], most)
+        for column, new in zip(found, links(name, order, children, numbering[lo:hi], text), strict=True):
+            column += new
+        doc += [k] * len(order)
+        # the root and the containers come after all parts
+        taken += [at[-1] if n == 0 else lo + n - 1 if n <= hi - lo else at[-1] + 1 for n, _, _ in order]
+    taken = pa.array(taken, pa.int64())
+    kinds = dict(_NODE)
+
+    def own(c: str, root, container) -> pa.Array:
+        kind = kinds.get(c, pa.string())
+        return pa.concat_arrays([part[c].cast(kind), pa.array([root, container], kind)]).take(taken)
+
+    def listed(c: str) -> pa.Array:
+        x = own(c, [], [])
+        return pa.array([y or [] for y in x.to_pylist()], kinds[c]) if x.null_count else x
+
+    table = pc.fill_null(pc.equal(own("category", None, None), "Table"), False)
+    out = dict(zip(LINKS, found, strict=True)) | {
+        "text": own("text", "document", AMENDMENTS), "type": own("type", "document", "amendment"), "kind": pc.if_else(table, "table", "text"), "table_html": pc.if_else(table, own("html", None, None), pa.scalar(None, pa.string())) if len(taken) else pa.array([], pa.string()),
+        "numbering": pc.fill_null(own("numbering", "", ""), ""), "block": own("block", "main", "amendment"), "src_ids": listed("src_ids"), "tags": listed("tags"),
+    }
+    schema = pa.schema([docs.schema.field(0), *_NODE])
+    return pa.RecordBatch.from_arrays([docs.column(0).take(pa.array(doc, pa.int64())), *[x if isinstance(x := out[c], pa.Array) else pa.array(x, kind) for c, kind in _NODE]], schema=schema)
+
+
 _STRINGS, _INTS = pa.list_(pa.string()), pa.list_(pa.int32())
 _NODE = [("order", pa.int32()), ("id", pa.string()), ("text", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("table_html", pa.string()), ("numbering", pa.string()), ("block", pa.string()), ("depth", pa.int32()), ("src_ids", _INTS), ("tags", _STRINGS), ("parent_id", pa.string()), ("parent_text", pa.string()), ("breadcrumb", pa.string()), ("child_ids", _STRINGS), ("prev_id", pa.string()), ("next_id", pa.string())]
 NODES = "doc_id {id}, order int, id string, text string, type string, kind string, table_html string, numbering string, block string, depth int, src_ids array<int>, tags array<string>, parent_id string, parent_text string, breadcrumb string, child_ids array<string>, prev_id string, next_id string"
@@ -241,11 +306,8 @@ def hierarchy(parts: DataFrame, most: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([batch.schema.field(0), *_NODE])
             for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                rows = [r for doc, ps in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for r in tree(doc, ps, most=most)]
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield _nodes(batch.slice(lo, 64), most)
 
     return docs.mapInArrow(run, NODES.format(id=dict(ranked.dtypes)["doc_id"]))
 
